@@ -1,0 +1,90 @@
+"""Queries of the training-data operators over the whole test tables, and their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korvane.llm import bpe, packing, repeated_lines, term_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, value, occurrences, records, mark) of every distinct term of articles.text and value of freq.freq."""
+    text = term_counts.text_term_counts(_read(spark, folder, "articles")).withColumn("field", F.lit("text"))
+    freq = term_counts.value_counts(_read(spark, folder, "freq")).withColumn("field", F.lit("freq"))
+    return text.unionByName(freq).select("field", "value", "occurrences", "records", "mark")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_counts(spark, folder).where(F.col("mark").isNotNull()).select("field", "value", "mark")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.frequent_lines(_read(spark, folder, "articles"))
+
+
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.without_frequent_lines(_read(spark, folder, "articles"))
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_documents(_read(spark, folder, "documents"))
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, folder, "documents"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p3_found, p3_counts, p6_found, p6_texts, p8_ids, p9_containers)}
+
+
+_TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ', 'abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюя')"
+
+_P3 = f"""
+WITH term AS (
+    SELECT article_id, {_LOWER.format("unnest(regexp_extract_all(text, '" + _TERM + "'))")} AS value FROM articles WHERE text IS NOT NULL
+), counted AS (
+    SELECT 'text' AS field, value, count(*) AS occurrences, count(DISTINCT article_id) AS records, (SELECT count(*) FROM articles WHERE text IS NOT NULL) AS total
+    FROM term GROUP BY value
+    UNION ALL
+    SELECT 'freq', CAST(freq AS VARCHAR), count(*), count(DISTINCT rank), (SELECT count(DISTINCT rank) FROM freq WHERE freq IS NOT NULL)
+    FROM freq WHERE freq IS NOT NULL GROUP BY freq
+), marks AS (
+    SELECT field, value, occurrences, records, CASE WHEN records > 0.2 * total THEN 'common' WHEN records <= 2 THEN 'rare' END AS mark FROM counted
+)
+"""
+
+_P6 = r"""
+WITH line AS (
+    SELECT article_id, source, CAST(i AS INTEGER) AS line_no, parts[i] AS line
+    FROM (SELECT article_id, source, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT article_id, source, string_split(text, chr(10)) AS parts FROM articles WHERE text IS NOT NULL))
+), lettered AS (
+    SELECT article_id, source, line_no, letters FROM (SELECT *, lower(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS letters FROM line) WHERE length(letters) >= 4
+), often AS (
+    SELECT l.source, letters FROM lettered l
+    JOIN (SELECT source, count(*) AS articles FROM articles WHERE text <> '' GROUP BY source) t USING (source)
+    GROUP BY l.source, letters, articles HAVING count(DISTINCT article_id) >= 5 AND count(DISTINCT article_id) >= 0.05 * articles
+)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": _P3 + "SELECT field, value, mark FROM marks WHERE mark IS NOT NULL",
+        "p3_counts": _P3 + "SELECT field, value, occurrences, records, mark FROM marks",
+        "p6_found": _P6 + "SELECT article_id, line_no FROM lettered JOIN often USING (source, letters)",
+        "p6_texts": _P6
+        + """, gone AS (SELECT article_id, line_no FROM lettered JOIN often USING (source, letters))
+SELECT a.article_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM articles a
+LEFT JOIN (SELECT article_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM line ANTI JOIN gone USING (article_id, line_no) GROUP BY article_id) k USING (article_id)""",
+    }
