@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, packing, repeated_lines, term_counts
+from korvane.llm import bpe, near_duplicates, packing, repeated_lines, term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_counts(spark, folder).where(F.col("mark").isNotNull()).select("field", "value", "mark")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_read(spark, folder, "articles"))
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(_read(spark, folder, "articles"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.frequent_lines(_read(spark, folder, "articles"))
 
@@ -44,7 +52,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p6_found, p6_texts, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p8_ids, p9_containers)}
 
 
 _TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"
