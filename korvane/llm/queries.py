@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, near_duplicates, packing, repeated_lines, term_counts
+from korvane.llm import bpe, history, near_duplicates, packing, repeated_lines, term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.repeats(_read(spark, folder, "articles"))
+
+
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(field, value, occurrences, records, mark) of every distinct term of articles.text and value of freq.freq."""
     text = term_counts.text_term_counts(_read(spark, folder, "articles")).withColumn("field", F.lit("text"))
@@ -52,7 +56,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p8_ids, p9_containers)}
 
 
 _TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"
