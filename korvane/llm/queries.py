@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, history, near_duplicates, packing, repeated_lines, term_counts
+from korvane.llm import bpe, history, markup, near_duplicates, packing, repeated_lines, term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,18 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.without_frequent_lines(_read(spark, folder, "articles"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.markup_languages(_read(spark, folder, "articles"))
+
+
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_texts(_read(spark, folder, "articles"))
+
+
+def p7_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.extract_pages(_read(spark, folder, "pages"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, folder, "documents"))
 
@@ -56,7 +68,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers)}
 
 
 _TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"
