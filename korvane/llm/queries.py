@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, history, markup, near_duplicates, packing, repeated_lines, term_counts
+from korvane.llm import bpe, history, markup, near_duplicates, packing, repeated_lines, term_counts, text_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +67,16 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"))
 
 
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.text_kinds(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_statistics(spark, folder).where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 
 _TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"
