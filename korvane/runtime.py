@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +38,26 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
 def shuffle_width(spark: SparkSession) -> int:
     """Number of groups for packed shuffles: follows spark.sql.shuffle.partitions, which the cluster sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: Bits of a bitmap of keys: a fixed size, whatever the number of keys.
+BITMAP = 1 << 24
+
+
+def bitmap(keys: DataFrame, key: str) -> bytes:
+    """Bitmap of a column of 64-bit hashes, built by Spark in parts of 32,768 bits: 2 MB at most reach the driver.
+
+    It only holds rows back before a join; a key that shares its bit with another passes, and the join decides.
+    """
+    at = F.pmod(F.col(key), F.lit(BITMAP))
+    parts = keys.where(F.col(key).isNotNull()).groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits")).collect()
+    out = bytearray(BITMAP // 8)
+    for r in parts:
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def in_bitmap(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit hash is set."""
+    at = np.mod(keys.astype(np.int64), BITMAP)
+    return (np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
