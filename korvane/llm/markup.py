@@ -212,6 +212,10 @@ def clean_texts(df: DataFrame, key: str = "article_id", text: str = "text") -> D
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
+_ASIDE = re.compile(r"(?:a|nav|header|footer|aside|button|form)(?:[#.]|$)")
+_INNER = re.compile(r"(?:p|h\d|li|ul|ol|td|th|tr|tbody|table|code|pre|b|i|em|strong|span)(?:[#.]|$)")
+
+
 class _Tree(HTMLParser):
     """Containers of a page: path of tags and classes, and the text and link text inside."""
 
@@ -242,27 +246,39 @@ class _Tree(HTMLParser):
             self.parts.append(("/".join(n for _, n in self.open), self.open[-1][0] if self.open else "", data))
 
 
-def page_containers(page: str | None) -> dict[str, float]:
-    """Score of each container path of a page: characters of its paragraphs, less those in links, headers, footers and navigation."""
-    if not page:
-        return {}
-    tree = _Tree()
-    tree.feed(page)
+def page_text(data: object) -> str | None:
+    """A page's characters: bytes as UTF-8, or as windows-1251 where they are no UTF-8."""
+    if data is None or isinstance(data, str):
+        return data
+    raw = bytes(data)
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("windows-1251", "replace")
+
+
+def best_of(tree: _Tree) -> str | None:
+    """Path of the container with the best score, the deepest of them: characters of its paragraphs, less those in links, headers,
+    footers and navigation."""
     scores: dict[str, float] = {}
     for path, _, text in tree.parts:
         names = path.split("/")
-        aside = any(re.match(r"(?:a|nav|header|footer|aside|button|form)(?:[#.]|$)", n) for n in names)
+        aside = any(_ASIDE.match(n) for n in names)
         gain = -2.0 * len(text) if aside else float(len(text))
         for i in range(1, len(names) + 1):
             prefix = "/".join(names[:i])
             scores[prefix] = scores.get(prefix, 0.0) + gain
-    return {p: s for p, s in scores.items() if s > 0 and not re.match(r"(?:p|h\d|li|td|tr|code|pre|b|i|em|strong|span)(?:[#.]|$)", p.rsplit("/", 1)[-1])}
+    scores = {p: s for p, s in scores.items() if s > 0 and not _INNER.match(p.rsplit("/", 1)[-1])}
+    return max(scores, key=lambda p: (scores[p], p.count("/"), p)) if scores else None
 
 
 def best_container(page: str | None) -> str | None:
-    """The deepest of the paths with the best score."""
-    scores = page_containers(page)
-    return max(scores, key=lambda p: (scores[p], p.count("/"), p)) if scores else None
+    """Path of the container that holds a page's article; None for a null or empty page."""
+    if not page:
+        return None
+    tree = _Tree()
+    tree.feed(page)
+    return best_of(tree)
 
 
 def extract_container(page: str | None, path: str | None) -> str | None:
@@ -273,7 +289,7 @@ def extract_container(page: str | None, path: str | None) -> str | None:
     tree.feed(page)
     inside = [(p, t) for p, _, t in tree.parts if path and (p == path or p.startswith(path + "/"))]
     if not inside:
-        own = best_container(page)
+        own = best_of(tree)
         inside = [(p, t) for p, _, t in tree.parts if own and (p == own or p.startswith(own + "/"))]
     return "\n".join(x for x in (re.sub(r"[^\S\n]+", " ", t).strip() for _, t in inside) if x)
 
@@ -286,22 +302,13 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html", host:
     read as UTF-8, or as windows-1251 where they are no UTF-8; repeated pages give repeated rows.
     """
 
-    def decode(data: object) -> str | None:
-        if data is None or isinstance(data, str):
-            return data
-        raw = bytes(data)
-        try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return raw.decode("windows-1251", "replace")
-
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"host": b["host"], "path": [best_container(decode(x)) for x in b["page"]]}).dropna(subset=["path"])
+            yield pd.DataFrame({"host": b["host"], "path": [best_container(page_text(x)) for x in b["page"]]}).dropna(subset=["path"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"url": b["url"], "path": b["path"], "text": [extract_container(decode(x), p) for x, p in zip(b["page"], b["path"])]})
+            yield pd.DataFrame({"url": b["url"], "path": b["path"], "text": [extract_container(page_text(x), p) for x, p in zip(b["page"], b["path"])]})
 
     rows = pages.select(F.col(url).alias("url"), F.col(page).alias("page"), F.col(host).alias("host"))
     votes = rows.where(F.octet_length("page") > 0).select("host", "page").mapInPandas(vote, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))

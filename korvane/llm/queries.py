@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, history, markup, near_duplicates, packing, repeated_lines, term_counts, text_quality
+from korvane.llm import bpe, history, markup, near_duplicates, packing, repeated_lines, templates, term_counts, text_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.repeats(_read(spark, folder, "articles"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.template_lines(_read(spark, folder, "articles"), _read(spark, folder, "pages"))
+
+
+def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.main_texts(_read(spark, folder, "articles"), _read(spark, folder, "pages"))
+
+
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(field, value, occurrences, records, mark) of every distinct term of articles.text and value of freq.freq."""
     text = term_counts.text_term_counts(_read(spark, folder, "articles")).withColumn("field", F.lit("text"))
@@ -76,7 +84,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 
 _TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"

@@ -59,6 +59,7 @@ _LEADER = re.compile(r"(?:\.{4,}|…{2,}|\s{3,})\s*\d+\s*$|[—–-]\s*\d{3,4}\s
 _SENTENCE_END = re.compile(r"[.!?…]['\"»”)\]]*\s*(?:\([^()]*\)\W*)?(?:#\w+\W*)*[^\w;,]*$")
 _INNER_UPPER = re.compile(r"[^\W\d_A-ZА-ЯЁ][A-ZА-ЯЁ]")
 _CELL = re.compile(r"^\W*(?:\d[\d\s.,:/%-]*|n/a|[—–-]|)\W*$")
+_QUOTED = re.compile(r'"[^"\n]*"')
 _SPACED = re.compile(r"\S\s{2,}(?=\S)")
 _URL = re.compile(r"^\s*https?://\S+\s*$")
 _TAGGED = re.compile(r"(?<!\S)#\w+")
@@ -95,13 +96,14 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
     sizes = np.array([len(x) for x in lines], dtype=np.float64)
     best_cells, best_alike, best_lines, best_numbers = 0.0, 0.0, 0.0, 0.0
     for sep in ("|", "\t", ";", ","):
-        counts = [x.count(sep) for x in lines]
+        own = [_QUOTED.sub("q", x) for x in lines] if sep in ",;" and '"' in text else lines
+        counts = [x.count(sep) for x in own]
         rows = [c for c in counts if c >= (1 if sep in "\t" else 2)]
         if len(rows) < 2:
             continue
         alike = Counter(rows).most_common(1)[0][1] / n
         if alike > best_alike:
-            cells = [c for x, k in zip(lines, counts) if k for c in x.strip("|").split(sep)]
+            cells = [c for x, k in zip(own, counts) if k for c in x.strip("|").split(sep)]  # a quoted cell counts as text
             best_alike, best_lines, best_cells = alike, len(rows) / n, sum(rows) / len(rows)
             best_numbers = sum(bool(_CELL.match(c)) for c in cells) / len(cells)
     spaced = sum(len(_SPACED.findall(x)) >= 1 for x in lines) / n
@@ -134,7 +136,7 @@ def weak_kind(s: np.ndarray) -> int:
     rows = g("cells_alike") > 0.6 and (g("number_cells") > 0.25 or g("cells") >= 2) and g("entry_ends") < 0.5 or g("spaced") > 0.7 and g("digits") > 0.08
     if long and (g("replacement") > 0.2 or g("escapes") > 0.5 or g("tags") > 0.6 and g("sentence_lines") < 0.3 or g("controls") > 0.05 or g("latin1") > 0.35):
         return 3
-    if long and entries < 0.3 and not rows and (g("mixed") > 0.3 or g("symbol_share") > 0.5 or g("inner_upper") > 0.1 or g("letters") < 0.25 and g("digits") > 0.5):
+    if long and entries < 0.3 and not rows and (g("mixed") > 0.12 and g("sentence_lines") < 0.3 or g("symbol_share") > 0.5 or g("inner_upper") > 0.1 or g("letters") < 0.25 and g("digits") > 0.5):
         return 3
     if lines >= 4 and g("distinct_lines") < 0.3 or words >= 30 and g("distinct_sentences") < 0.3:
         return 3
