@@ -184,8 +184,18 @@ class Group:
 
 
 def verified(pairs: DataFrame, table: DataFrame, t: float) -> DataFrame:
-    """(a, b) of those pairs of classes whose sets are similar to at least t, compared in full."""
-    sets = table.where(F.col("part") < 0).where(F.col("h").isNotNull()).groupBy("class").agg(F.first("h").alias("h"))
+    """(a, b) of those pairs of classes whose sets are similar to at least t, compared in full.
+
+    Sets of classes that are in no pair are held back before the shuffle by a bitmap of fixed size.
+    """
+    pairs = runtime.written(pairs, "candidates")
+    wanted = runtime.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("class")), "class")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(runtime.in_bitmap(wanted, b.column(0).to_numpy(zero_copy_only=False))))
+
+    sets = table.where(F.col("part") < 0).where(F.col("h").isNotNull()).select("class", "h").mapInArrow(held, "class bigint, h binary").groupBy("class").agg(F.first("h").alias("h"))
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("class").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
