@@ -114,7 +114,8 @@ def signature(own: np.ndarray) -> np.ndarray:
 def routed(table: DataFrame, t: float, carry: str = "0") -> DataFrame:
     """Rows (p, keys, docs, classes, sizes, order, bits): for each batch of sets and each group p, the rare-first prefixes' shingles
     that belong to p, and of the sets that have any: class, size, a carried number and signature. Packed, so that millions of
-    shingles move as a few rows; groups grow in number with spark.sql.shuffle.partitions, not in size with the input."""
+    shingles move as a few rows; groups grow in number with spark.sql.shuffle.partitions, not in size with the input. The upper 16
+    bits of a shingle choose its group, where the lower 32 stand for it: two shingles that agree in them only add a candidate."""
     spark = table.sparkSession
     groups = runtime.shuffle_width(spark)
     sketch = spark.sparkContext.broadcast(sketch_of(table))
@@ -136,14 +137,14 @@ def routed(table: DataFrame, t: float, carry: str = "0") -> DataFrame:
             if not keys:
                 continue
             flat, doc = np.concatenate(keys), np.repeat(np.arange(len(keys)), lengths)
-            group = ((flat >> np.uint64(8)) % np.uint64(groups)).astype(np.int32)
+            group = ((flat >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(group, kind="stable")
             flat, doc, group = flat[order], doc[order], group[order]
             classes, sizes, bits, carried = b["class"].to_numpy(), np.array(sizes, dtype=np.int32), np.array(bits), b["order"].to_numpy()
             out = []
             for p, s, e in _spans(group):
                 some, at = np.unique(doc[s:e], return_inverse=True)
-                out.append((p, to_bytes(flat[s:e]), at.astype(np.uint32).tobytes(), classes[some].tobytes(), sizes[some].tobytes(), carried[some].tobytes(), bits[some].tobytes()))
+                out.append((p, (flat[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), at.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32).tobytes(), classes[some].tobytes(), sizes[some].tobytes(), carried[some].tobytes(), bits[some].tobytes()))
             yield pd.DataFrame(out, columns=["p", "keys", "docs", "classes", "sizes", "order", "bits"])
 
     return rows.mapInPandas(run, "p int, keys binary, docs binary, classes binary, sizes binary, order binary, bits binary")
@@ -163,8 +164,8 @@ class Group:
     def __init__(self, rows: pd.DataFrame) -> None:
         keys, docs, classes, sizes, order, bits, base = [], [], [], [], [], [], 0
         for r in rows.itertuples(index=False):
-            keys.append(from_bytes(r.keys))
-            docs.append(np.frombuffer(r.docs, dtype=np.uint32).astype(np.int64) + base)
+            keys.append(np.frombuffer(r.keys, dtype=np.uint32))
+            docs.append(np.frombuffer(r.docs, dtype=np.uint16 if len(r.docs) * 2 == len(r.keys) else np.uint32).astype(np.int64) + base)
             classes.append(np.frombuffer(r.classes, dtype=np.int64))
             sizes.append(np.frombuffer(r.sizes, dtype=np.int32))
             order.append(np.frombuffer(r.order, dtype=np.int64))
