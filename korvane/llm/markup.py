@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korvane import runtime
+
 WHOLE, DAMAGED, WEAK = 3, 2, 1
 #: Records of a host that must hold a weak path, at least, and their share of the host's records.
 VOTES, SHARE = 3, 0.002
@@ -129,7 +131,7 @@ def markup_languages(df: DataFrame, key: str = "article_id", host: str = "source
     host vote together; repeated rows give one row per key; an empty table gives none; further columns are not read. The vote is
     pre-aggregated to one row per host and path, so a host with a third of all rows sends a few rows from each task.
     """
-    votes_table = _votes(df, key, host, text)
+    votes_table = runtime.written(_votes(df, key, host, text), "markup-votes")
     sure = votes_table.where(F.col("score") > WEAK).select("key", "markup").distinct()
     weak = votes_table.where(F.col("score") == WEAK)
     with_sure = weak.join(sure.withColumn("sure", F.lit(1)), ["key", "markup"], "left")
