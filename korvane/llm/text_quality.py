@@ -20,7 +20,7 @@ from korvane import runtime
 
 KINDS = ("prose", "list", "table", "junk")
 #: Documents that are labelled weakly for training and hand labels that calibrate, at most; common words that are kept, at most.
-TRAIN_ROWS, CALIBRATE_ROWS, COMMON_WORDS = 8000, 5000, 4000
+TRAIN_ROWS, CALIBRATE_ROWS, COMMON_WORDS = 6000, 3000, 4000
 #: Classes of letters in the table of pairs: a to z, four German letters, Russian letters, other letters, digits, space, other.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßабвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 _CLASSES = len(_LETTERS) + 4
@@ -43,13 +43,17 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE: np.ndarray | None = None
+_VOWELS = np.array([_LETTERS.index(c) for c in "aeiouyäöüаеёиоуыэюя"])
 
 
-def _classes_of(text: str) -> np.ndarray:
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _classes_of(codes: np.ndarray) -> np.ndarray:
     global _TABLE
     if _TABLE is None:
         _TABLE = _class_table()
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return _TABLE[np.minimum(codes, 0xFFFF)]
 
 
@@ -57,7 +61,6 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BULLET = re.compile(r"^\s*(?:[-–—•◦▪·*+→>]|№|§|#|\(?\d{1,3}(?:\.\d{1,3})*[.)]?|[a-zа-я]\))\s+", re.IGNORECASE)
 _LEADER = re.compile(r"(?:\.{4,}|…{2,}|\s{3,})\s*\d+\s*$|[—–-]\s*\d{3,4}\s*$")
 _SENTENCE_END = re.compile(r"[.!?…]['\"»”)\]]*\s*(?:\([^()]*\)\W*)?(?:#\w+\W*)*[^\w;,]*$")
-_INNER_UPPER = re.compile(r"[^\W\d_A-ZА-ЯЁ][A-ZА-ЯЁ]")
 _CELL = re.compile(r"^\W*(?:\d[\d\s.,:/%-]*|n/a|[—–-]|)\W*$")
 _QUOTED = re.compile(r'"[^"\n]*"')
 _SPACED = re.compile(r"\S\s{2,}(?=\S)")
@@ -78,22 +81,24 @@ _NAMES = (
 def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray) -> list[float]:
     """The numbers of _NAMES for a non-blank text. Shares lie between 0 and 1; `words` counts runs of letters."""
     lines = [x for x in (y.strip("\r ") for y in text.split("\n")) if x.strip()]
-    n, chars = len(lines), len(text)
+    n, chars = max(1, len(lines)), len(text)
     words = _WORD.findall(text)
     low = [w.lower() for w in words]
     w = len(words) or 1
     lengths = np.fromiter(map(len, words), dtype=np.float64, count=len(words)) if words else np.zeros(1)
-    classes = _classes_of(text)
+    codes = _codes(text)
+    classes = _classes_of(codes)
     kinds = np.bincount(classes, minlength=_CLASSES)
     letters, digits, spaces, other = int(kinds[: _CLASSES - 3].sum()), int(kinds[-3]), int(kinds[-2]), int(kinds[-1])
     inside = (classes[1:] < _CLASSES - 4) & (classes[:-1] < _CLASSES - 4)
     seen = pairs[classes[:-1][inside], classes[1:][inside]] if chars > 1 else np.zeros(0)
-    ended = sum(bool(_SENTENCE_END.search(x)) for x in lines)
-    line_words = [len(_WORD.findall(x)) for x in lines] if n > 1 else [len(words)]
-    sentence_lines = sum(c >= 4 and bool(_SENTENCE_END.search(x)) for c, x in zip(line_words, lines))
-    bullets = sum(bool(_BULLET.match(x)) for x in lines)
-    leaders = sum(bool(_LEADER.search(x)) for x in lines)
-    sizes = np.array([len(x) for x in lines], dtype=np.float64)
+    ends = [_SENTENCE_END.search(x, max(0, len(x) - 120)) is not None for x in lines]
+    ended = sum(ends)
+    line_words = [len(x.split()) for x in lines] or [0]
+    sentence_lines = sum(c >= 4 and e for c, e in zip(line_words, ends))
+    bullets = sum(_BULLET.match(x) is not None for x in lines)
+    leaders = sum(_LEADER.search(x, max(0, len(x) - 40)) is not None for x in lines)
+    sizes = np.array([len(x) for x in lines] or [0], dtype=np.float64)
     best_cells, best_alike, best_lines, best_numbers = 0.0, 0.0, 0.0, 0.0
     for sep in ("|", "\t", ";", ","):
         own = [_QUOTED.sub("q", x) for x in lines] if sep in ",;" and '"' in text else lines
@@ -106,21 +111,22 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
             cells = [c for x, k in zip(own, counts) if k for c in x.strip("|").split(sep)]  # a quoted cell counts as text
             best_alike, best_lines, best_cells = alike, len(rows) / n, sum(rows) / len(rows)
             best_numbers = sum(bool(_CELL.match(c)) for c in cells) / len(cells)
-    spaced = sum(len(_SPACED.findall(x)) >= 1 for x in lines) / n
+    spaced = sum(_SPACED.search(x) is not None for x in lines) / n if "  " in text else 0.0
     tops = Counter(low).most_common(1)[0][1] / w if words else 0.0
     sentences = [s.strip() for s in _SENTENCES.split(text) if s.strip()]
-    vowels = sum(map(text.lower().count, "aeiouyäöüаеёиоуыэюя")) / max(1, letters)
+    vowels = int(kinds[_VOWELS].sum()) / max(1, letters)
     names = sum(bool(re.match(r"^[^\W\d_]+,\s*[^\W\d_]\.", x)) for x in lines)
     colons = sum(": " in x[:40] for x in lines)
     return [
         float(len(words)), float(lengths.mean()), other / chars, ended / n, sum(x in common for x in low) / w,
         float(np.log1p(chars)), float(np.log1p(n)), letters / chars, digits / chars, spaces / chars, sum(map(str.isupper, words)) / w, int(kinds[_CLASSES - 4]) / chars,
-        sum(0x80 <= ord(c) < 0x100 for c in text) / chars if not text.isascii() else 0.0, text.count("�") / chars, sentence_lines / n, bullets / n, leaders / n,
+        float(((codes >= 0x80) & (codes < 0x100)).mean()), text.count("�") / chars, sentence_lines / n, bullets / n, leaders / n,
         float((sizes < 60).mean()), float(np.log1p(sizes.mean())), float(sizes.std() / (sizes.mean() + 1)), float(np.median(line_words)), sum(x[-1] in ";," for x in lines) / n, best_cells, best_lines, best_alike, best_numbers,
-        spaced, sum(bool(_URL.match(x)) for x in lines) / n, min(1.0, len(_TAGGED.findall(text)) / w), 3 * len(_ESCAPED.findall(text)) / chars, min(1.0, len(_MIXED.findall(text)) / w),
+        spaced, sum(bool(_URL.match(x)) for x in lines) / n, min(1.0, len(_TAGGED.findall(text)) / w) if "#" in text else 0.0, 3 * len(_ESCAPED.findall(text)) / chars if "%" in text or "\\" in text else 0.0,
+        min(1.0, len(_MIXED.findall(text)) / w) if digits > 0.02 * chars else 0.0,
         len(set(low)) / w, len(set(lines)) / n, len(set(sentences)) / max(1, len(sentences)), float(np.log1p(max(map(len, text.split()), default=0))), float((lengths == 1).mean()),
         float(seen.mean()) if seen.size else -12.0, float((seen < -7.5).mean()) if seen.size else 1.0, vowels, float(lengths.std()), tops, names / n, colons / n, sum(x[:1].isupper() for x in words) / w,
-        sum(len(x) <= 4 and x in common for x in low) / w, len(_INNER_UPPER.findall(text)) / max(1, letters), sum(0x7F <= ord(c) < 0xA0 for c in text) / chars if not text.isascii() else 0.0,
+        sum(len(x) <= 4 and x in common for x in low) / w, sum(a[1:] != b[1:] and not a.isupper() for a, b in zip(words, low)) / w, float(((codes >= 0x7F) & (codes < 0xA0)).mean()),
     ]
 
 
@@ -134,9 +140,9 @@ def weak_kind(s: np.ndarray) -> int:
     long = words >= 12 or np.expm1(g("chars")) >= 60
     entries = max(g("bullets"), g("leaders"), g("urls"), g("name_lines"))
     rows = g("cells_alike") > 0.6 and (g("number_cells") > 0.25 or g("cells") >= 2) and g("entry_ends") < 0.5 or g("spaced") > 0.7 and g("digits") > 0.08
-    if long and (g("replacement") > 0.2 or g("escapes") > 0.5 or g("tags") > 0.6 and g("sentence_lines") < 0.3 or g("controls") > 0.05 or g("latin1") > 0.35):
+    if long and (g("replacement") > 0.2 or g("escapes") > 0.5 or g("escapes") > 0.15 and g("spaces") < 0.03 or g("tags") > 0.6 and g("sentence_lines") < 0.3 or g("controls") > 0.05 or g("latin1") > 0.35):
         return 3
-    if long and entries < 0.3 and not rows and (g("mixed") > 0.12 and g("sentence_lines") < 0.3 or g("symbol_share") > 0.5 or g("inner_upper") > 0.1 or g("letters") < 0.25 and g("digits") > 0.5):
+    if long and entries < 0.3 and not rows and (g("mixed") > 0.12 and g("sentence_lines") < 0.3 or g("symbol_share") > 0.5 or g("inner_upper") > 0.5 or g("letters") < 0.25 and g("digits") > 0.5):
         return 3
     if lines >= 4 and g("distinct_lines") < 0.3 or words >= 30 and g("distinct_sentences") < 0.3:
         return 3
@@ -148,7 +154,10 @@ def weak_kind(s: np.ndarray) -> int:
         return 2
     if lines >= 4 and g("sentence_lines") < 0.5 and g("cells_alike") < 0.5 and (entries > 0.5 or g("colon_lines") > 0.7 or g("short_lines") > 0.8 and g("punctuated_lines") < 0.3 and g("line_words") <= 4):
         return 1
-    sound = g("worst_pairs") < 0.06 and g("distinct_sentences") > 0.7 and entries < 0.5 and g("inner_upper") < 0.03 and g("tags") < 0.3
+    pairs = g("colon_lines") > 0.6 and g("line_words") <= 8  # a term and its explanation; lines of a dialogue are longer
+    if lines >= 3 and pairs and g("cells_alike") < 0.5:
+        return 1
+    sound = not pairs and g("worst_pairs") < 0.06 and g("distinct_sentences") > 0.7 and entries < 0.5 and g("inner_upper") < 0.2 and g("tags") < 0.3
     if sound and g("sentence_lines") > 0.5 and g("cells_alike") < 0.5:
         return 0
     if sound and words >= 6 and g("distinct_words") > 0.2 and g("short_common") > 0.08 and entries < 0.2 and g("line_words") >= 6 and g("cells_alike") < 0.3 and g("symbol_share") < 0.15 and g("spaced") < 0.3:
@@ -253,7 +262,7 @@ def corpus_counts(df: DataFrame, text: str = "text") -> tuple[frozenset[str], np
             held: Counter[str] = Counter()
             for x in b["text"]:
                 held.update(set(_WORD.findall(x.lower())))
-                c = _classes_of(x)
+                c = _classes_of(_codes(x))
                 if len(c) > 1:
                     table += np.bincount(c[:-1] * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES)
             yield pd.DataFrame({"word": list(held), "pair": -1, "n": list(held.values())})
@@ -278,11 +287,15 @@ def majority(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return votes.join(best, key).where(F.col("n") == F.col("top")).groupBy(key).agg(F.count(F.lit(1)).alias("tied"), F.first("kind").alias("kind")).where(F.col("tied") == 1).select(key, "kind")
 
 
+def _not_blank(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows[[bool(x.strip()) for x in rows["text"]]]
+
+
 def _measured(rows: DataFrame, common: object, pairs: object) -> pd.DataFrame:
     """Statistics of a bounded frame (key, text, kind), worked out by the executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in map(_not_blank, batches):
             own = [np.array(statistics(x, common.value, pairs.value), dtype=np.float64).tobytes() for x in b["text"]]
             yield pd.DataFrame({"kind": b["kind"], "own": own})
 
@@ -301,7 +314,7 @@ def text_kinds(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     spark = df.sparkSession
     common, pairs = corpus_counts(df, text)
     common_b, pairs_b = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(pairs)
-    rows = df.where(F.length(F.regexp_replace(text, r"[\s\u0085  -​　]+", "")) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
     draw = lambda ids, n: ids.orderBy(F.xxhash64("key"), "key").limit(n)
     chosen = draw(rows.select("key").distinct(), train_rows)
     sample = _measured(rows.join(chosen, "key", "left_semi").withColumn("kind", F.lit(None).cast("string")), common_b, pairs_b)
@@ -322,7 +335,7 @@ def text_kinds(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, calibration = model_b.value
-        for b in batches:
+        for b in map(_not_blank, batches):
             if not len(b):
                 continue
             s = np.array([statistics(t, common_b.value, pairs_b.value) for t in b["text"]], dtype=np.float64)
