@@ -187,7 +187,7 @@ def clean_text(text: str | None) -> str | None:
     t = re.sub(r"\{\{[^{}\n]*\}\}", "", t)
     t = re.sub(r"(?m)^\{\|.*$|^\|\}.*$|^\|-.*$", "", t)
     t = re.sub(r"(?m)^[!|][ \t]*(?=\S)(.*(?:!!|\|\|).*)$", lambda m: re.sub(r"\s*(?:!!|\|\|)\s*", " | ", m[1]), t)
-    t = re.sub(r"'''?(?=\S)|(?<=\S)'''?", "", t)
+    t = re.sub(r"'{2,3}", "", t)
     t = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)?", r"\1", t)
     t = re.sub(r"\[([^\]\n]+)\]\((?:https?:|/|#|mailto:)[^)\n]*\)?", r"\1", t)
     t = re.sub(r"\*\*|(?<!\w)__(?=[^\s_])|(?<=[^\s_])__(?!\w)|~~", "", t)
