@@ -12,8 +12,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЁЖЗИЙКЛМНОПРСТУ
 SMALL = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 SUFFIXES = ("ями", "ами", "ого", "ему", "ому", "ее", "ие", "ые", "ий", "ый", "ой", "ая", "яя", "ам", "ям", "ах", "ях", "ов", "ев", "ей", "ом", "ем", "ым", "им", "а", "я", "о", "е", "и", "ы", "у", "ю")
 
+#: Capitals of the alphabet that keep their case.
+KEPT = "[ЀЂ-ЏѠ-ѿ]"
 TOKEN = rf"[{TOKEN_CLASS}]+(?:[-'][{TOKEN_CLASS}]+)*"
-STEM = rf"(?:{'|'.join(SUFFIXES)})\z"
 
 
 def raw_tokens(text: Column) -> Column:
@@ -27,13 +28,18 @@ def html_strip(page: Column) -> Column:
 
 
 def ru_lower(term: Column) -> Column:
-    """Lower case of ASCII and of А to Я with Ё; other letters stay."""
-    return F.translate(term, CAPITALS, SMALL)
+    """Lower case of ASCII and of А to Я with Ё; other letters stay. Spark's own lower case does for all terms but those with such."""
+    return F.when(term.rlike(KEPT), F.translate(term, CAPITALS, SMALL)).otherwise(F.lower(term))
 
 
 def ru_stem(term: Column) -> Column:
-    """A term without the first suffix that fits; it may become empty."""
-    return F.regexp_replace(term, STEM, "")
+    """A term without the first suffix that fits; it may become empty. Longer suffixes are tried first, as in their order, so a look-up of
+    the last three, two and one characters does it."""
+    out = term
+    for n in (1, 2, 3):
+        fits = [s for s in SUFFIXES if len(s) == n]
+        out = F.when(F.right(term, F.lit(n)).isin(fits), F.substring(term, F.lit(1), F.length(term) - n)).otherwise(out)
+    return out
 
 
 def term(token: Column) -> Column:

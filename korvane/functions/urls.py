@@ -32,11 +32,12 @@ def normalize_url(url: Column, depth: int = 12) -> Column:
     scheme = F.lower(F.when(_part(url, 1) == "", F.lit("http")).otherwise(_part(url, 1)))
     authority = F.lower(_part(url, 2))
     authority = F.when((scheme == "http"), F.regexp_replace(authority, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(authority, r":(443)?$", "")).otherwise(authority)
-    way = F.regexp_replace(F.regexp_replace(path(url), r"(?:/\.)+(?=/)", ""), r"/\.$", "/")
+    plain = path(url)
+    way = F.regexp_replace(F.regexp_replace(plain, r"(?:/\.)+(?=/)", ""), r"/\.$", "/")
     for _ in range(depth):
         way = F.regexp_replace(way, r"^(.*?)/(?!\.\.(?:/|$))[^/]*/\.\.(?=/|$)", "$1")
     way = F.regexp_replace(way, r"^(?:/\.\.(?=/|$))+", "")
-    way = F.when(way == "", F.lit("/")).otherwise(way)
+    way = F.coalesce(F.nullif(F.when(F.contains(plain, F.lit("/.")), way).otherwise(plain), F.lit("")), F.lit("/"))
     return F.when(_part(url, 2) == "", url).otherwise(F.concat(scheme, F.lit("://"), authority, way, _part(url, 4)))
 
 

@@ -32,7 +32,7 @@ BOOLEAN = {
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return runtime.spread(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

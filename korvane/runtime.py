@@ -40,6 +40,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bytes from which a table in fewer partitions than there are cores is spread over them.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few for that; as it is where they are enough, which large tables always are."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(wide) if size > SPREAD_BYTES and df.rdd.getNumPartitions() < wide else df
+
+
 #: Bits of a bitmap of keys: a fixed size, whatever the number of keys.
 BITMAP = 1 << 24
 
