@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane import runtime
@@ -97,35 +97,28 @@ def class_matches(table: DataFrame, t: float, batch: str = "batch_no") -> DataFr
     return shingles.verified(candidates, table, t)
 
 
-def repeats(df: DataFrame, key: str = "article_id", batch: str = "batch_no", url: str = "url", text: str = "text", t: float = 0.5, k: int = 3, min_terms: int = 20) -> DataFrame:
-    """(key): each record after batch 0 that repeats a record accepted before it, by page or by text.
+def _names(page: Column, own_class: Column) -> Column:
+    """What a record is known by: its page and its class."""
+    return F.array_compact(F.array(F.concat(F.lit("u"), page), F.concat(F.lit("c"), own_class.cast("string"))))
 
-    Batch 0 is accepted whole; later records in order of (batch, key), each unless it repeats an accepted one. Null and blank urls
-    name no page, and null, empty or short texts (fewer than min_terms terms) are near-duplicates of nothing; a record with neither
-    is always accepted. Keys must be unique; records of equal order and key would be taken as one. Rows with null batch or key are
-    left out. An empty table gives no row; further columns are not read.
+
+def _settle(new: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """(id): the records of `new` (id, batch_no, page, class) that repeat an accepted one.
+
+    links: (a, b) in both directions; known: (name) of what was accepted before all of them. A record makes known its page, its class
+    and the classes linked to it once it is accepted. Each round accepts all open records that wait for no earlier open one, and drops
+    those that these make known.
     """
-    named = df.where(F.col(key).isNotNull() & F.col(batch).isNotNull()).select(F.col(key).alias("id"), F.col(batch).cast("bigint").alias("batch_no"), F.col(url).alias("_k_url"), F.col(text).alias("text"))
-    page = F.pandas_udf(lambda s: s.map(urls.page_key).astype(object).where(s.notna(), None), "string")
-    table = shingles.shingle_table(named.withColumn("page", page("_k_url")).drop("_k_url"), "id", "text", k, min_terms, ("batch_no", "page"))
-    links = runtime.written(class_matches(table, t), "matches")
-    records = table.where(F.col("part") < 0).select("id", "batch_no", "page", "class")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first, own = F.min(F.struct("batch_no", "id")).alias("first"), F.struct("batch_no", "id")
 
-    # What a record is known by: its page and its class. What it makes known once accepted: its page, its class and linked classes.
     def known_by(r: DataFrame) -> DataFrame:
-        names = F.array_compact(F.array(F.concat(F.lit("u"), F.col("page")), F.concat(F.lit("c"), F.col("class").cast("string"))))
-        return r.select("id", "batch_no", F.explode(names).alias("name"))
+        return r.select("id", "batch_no", F.explode(_names(F.col("page"), F.col("class"))).alias("name"))
 
     def makes_known(r: DataFrame) -> DataFrame:
-        near = r.join(both, r["class"] == both["a"]).select("id", "batch_no", F.concat(F.lit("c"), F.col("b").cast("string")).alias("name"))
+        near = r.join(links, r["class"] == links["a"]).select("id", "batch_no", F.concat(F.lit("c"), F.col("b").cast("string")).alias("name"))
         return known_by(r).unionByName(near)
 
-    first = F.min(F.struct("batch_no", "id")).alias("first")
-    own = F.struct("batch_no", "id")
-    old, new = records.where(F.col("batch_no") == 0), records.where(F.col("batch_no") > 0)
-    from_history = known_by(new).join(makes_known(old).select("name").distinct(), "name", "left_semi").select("id").distinct()
-    cases = runtime.written(from_history, "repeats")
+    cases = runtime.written(known_by(new).join(known, "name", "left_semi").select("id").distinct(), "repeats")
     open_records = runtime.written(new.join(cases, "id", "left_anti"), "open")
     while not open_records.isEmpty():
         reach = makes_known(open_records).groupBy("name").agg(first)
@@ -135,9 +128,109 @@ def repeats(df: DataFrame, key: str = "article_id", batch: str = "batch_no", url
         if waiting.isEmpty():
             break
         accepted = open_records.join(waiting.select("id"), "id", "left_anti")
-        known = makes_known(accepted).groupBy("name").agg(first)
-        met = known_by(waiting).join(known, "name").where(F.col("first") < own).select("id").distinct()
-        met = runtime.written(met, "met")
+        made = makes_known(accepted).groupBy("name").agg(first)
+        met = runtime.written(known_by(waiting).join(made, "name").where(F.col("first") < own).select("id").distinct(), "met")
         cases = cases.unionByName(met)
         open_records = runtime.written(waiting.join(met, "id", "left_anti"), "open")
-    return cases.select(F.col("id").alias(key))
+    return cases
+
+
+def _table(df: DataFrame, key: str, batch: str | None, url: str, text: str, k: int, min_terms: int) -> DataFrame:
+    number = F.col(batch).cast("bigint") if batch else F.lit(1).cast("bigint")
+    named = df.where(F.col(key).isNotNull() & number.isNotNull()).select(F.col(key).alias("id"), number.alias("batch_no"), F.col(url).alias("_k_url"), F.col(text).alias("text"))
+    page = F.pandas_udf(lambda s: s.map(urls.page_key).astype(object).where(s.notna(), None), "string")
+    return shingles.shingle_table(named.withColumn("page", page("_k_url")).drop("_k_url"), "id", "text", k, min_terms, ("batch_no", "page"))
+
+
+def _both(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def repeats(df: DataFrame, key: str = "article_id", batch: str = "batch_no", url: str = "url", text: str = "text", t: float = 0.5, k: int = 3, min_terms: int = 20) -> DataFrame:
+    """(key): each record after batch 0 that repeats a record accepted before it, by page or by text.
+
+    Batch 0 is accepted whole; later records in order of (batch, key), each unless it repeats an accepted one. Null and blank urls
+    name no page, and null, empty or short texts (fewer than min_terms terms) are near-duplicates of nothing; a record with neither
+    is always accepted. Keys must be unique; records of equal order and key would be taken as one. Rows with null batch or key are
+    left out. An empty table gives no row; further columns are not read.
+    """
+    table = _table(df, key, batch, url, text, k, min_terms)
+    links = _both(runtime.written(class_matches(table, t), "matches"))
+    records = table.where(F.col("part") < 0).select("id", "batch_no", "page", "class")
+    old, new = records.where(F.col("batch_no") == 0), records.where(F.col("batch_no") > 0)
+    near = old.join(links, old["class"] == links["a"]).select(F.concat(F.lit("c"), F.col("b").cast("string")).alias("name"))
+    known = old.select(F.explode(_names(F.col("page"), F.col("class"))).alias("name")).unionByName(near).distinct()
+    return _settle(new, links, known).select(F.col("id").alias(key))
+
+
+class Archive:
+    """History that is kept between runs: segments, sets and names of accepted records in a folder, a directory for each batch.
+
+    A batch reads the packed segments of the groups, never a text of earlier batches, and adds one immutable segment directory. When
+    the newest directories are about as large as the one before, they are merged into one, so there are logarithmically many and each
+    entry is rewritten a logarithmic number of times. Order of shingles and number of groups are those of the first batch for good: the
+    guarantee of the routes needs one order for all, which need not be the best one.
+    """
+
+    _SEGMENT = "p int, keys binary, docs binary, classes binary, sizes binary, order binary, bits binary"
+    _KINDS = {"segments": _SEGMENT, "sets": "class bigint, h binary", "names": "name string"}
+
+    def __init__(self, spark: SparkSession, folder: str, t: float = 0.5, k: int = 3, min_terms: int = 20) -> None:
+        self.spark, self.folder, self.t, self.k, self.min_terms = spark, folder.rstrip("/"), t, k, min_terms
+        self.parts: list[tuple[str, int]] = []  # directories in use and their sizes in records
+        self.number, self.counts, self.groups = 0, np.zeros(0, dtype=np.uint32), 0
+
+    def _read(self, what: str, parts: list[tuple[str, int]]) -> DataFrame:
+        paths = [f"{self.folder}/{name}/{what}" for name, _ in parts]
+        return self.spark.read.schema(self._KINDS[what]).parquet(*paths) if paths else self.spark.createDataFrame([], self._KINDS[what])
+
+    def add(self, df: DataFrame, key: str = "article_id", url: str = "url", text: str = "text") -> DataFrame:
+        """(key): the records of a batch that repeat an accepted record, in order of key. The others are accepted. The first batch is
+        accepted whole."""
+        first = not self.parts
+        table = _table(df, key, None, url, text, self.k, self.min_terms)
+        if first:
+            self.counts = shingles.sketch_of(table)
+            self.groups = min(1 << 16, max(runtime.shuffle_width(self.spark), -(-table.count() // shingles.SETS_OF_GROUP)))
+        rows = table.where(F.col("part") < 0)
+        records = rows.select("id", "batch_no", "page", "class")
+        new = runtime.written(shingles.routed(table, self.t, "1", self.counts, self.groups), "new-segments")
+        if first:
+            cases = runtime.written(records.limit(0).select("id"), "repeats")
+        else:
+            t = self.t
+            both_ages = self._read("segments", self.parts).withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
+            parts = both_ages.groupBy("p").applyInPandas(lambda g: group_coverage(_aged(g), t), "a bigint, b bigint, covered bigint, need bigint")
+            candidates = parts.groupBy("a", "b").agg(F.sum("covered").alias("covered"), F.min("need").alias("need")).where(F.col("covered") >= F.col("need")).select("a", "b")
+            sets = self._read("sets", self.parts).unionByName(rows.where(F.col("h").isNotNull()).select("class", "h"))
+            links = _both(runtime.written(shingles.compared(candidates, sets, t), "matches"))
+            names = self._read("names", self.parts)
+            near = links.select(F.concat(F.lit("c"), F.col("a").cast("string")).alias("name"), F.concat(F.lit("c"), F.col("b").cast("string")).alias("other")).join(names, "name", "left_semi").select(F.col("other").alias("name"))
+            cases = runtime.written(_settle(records, links, names.unionByName(near)), "repeats")
+        accepted = rows.join(cases, "id", "left_anti")
+        self._store(accepted, new, cases.isEmpty())
+        return cases.select(F.col("id").alias(key))
+
+    def _store(self, accepted: DataFrame, new: DataFrame, whole: bool) -> None:
+        name = f"batch={self.number}"
+        self.number += 1
+        size = accepted.count()
+        if not whole:  # only what was accepted enters the segments
+            table = accepted.select("part", "id", "class", "h")
+            new = shingles.routed(table, self.t, "0", self.counts, self.groups)
+        new.write.mode("overwrite").parquet(f"{self.folder}/{name}/segments")
+        accepted.where(F.col("h").isNotNull()).select("class", "h").dropDuplicates(["class"]).write.mode("overwrite").parquet(f"{self.folder}/{name}/sets")
+        accepted.select(F.explode(_names(F.col("page"), F.col("class"))).alias("name")).distinct().write.mode("overwrite").parquet(f"{self.folder}/{name}/names")
+        self.parts.append((name, size))
+        while len(self.parts) > 1 and self.parts[-2][1] < 2 * self.parts[-1][1]:
+            pair, merged = self.parts[-2:], f"merge={self.number}"
+            self.number += 1
+            for what in self._KINDS:
+                self._read(what, pair).coalesce(runtime.shuffle_width(self.spark)).write.mode("overwrite").parquet(f"{self.folder}/{merged}/{what}")
+            self.parts[-2:] = [(merged, pair[0][1] + pair[1][1])]
+
+
+def _aged(group: pd.DataFrame) -> pd.DataFrame:
+    """Packed rows with the age of their directory as the order of their sets: 0 before this batch, 1 in it."""
+    order = [np.full(len(c) // 8, a, dtype=np.int64).tobytes() for c, a in zip(group["classes"], group["age"])]
+    return group.assign(order=order).drop(columns="age")

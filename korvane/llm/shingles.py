@@ -111,15 +111,21 @@ def signature(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def routed(table: DataFrame, t: float, carry: str = "0") -> DataFrame:
+#: Sets of a group, at most on average: groups grow in number with the input.
+SETS_OF_GROUP = 8192
+
+
+def routed(table: DataFrame, t: float, carry: str = "0", counts: np.ndarray | None = None, groups: int | None = None) -> DataFrame:
     """Rows (p, keys, docs, classes, sizes, order, bits): for each batch of sets and each group p, the rare-first prefixes' shingles
     that belong to p, and of the sets that have any: class, size, a carried number and signature. Packed, so that millions of
-    shingles move as a few rows; groups grow in number with spark.sql.shuffle.partitions, not in size with the input. The upper 16
+    shingles move as a few rows. counts, groups: the sketch and number of groups to keep to, where others were routed before; else
+    those of this table, with as many groups as spark.sql.shuffle.partitions and SETS_OF_GROUP ask for. The upper 16
     bits of a shingle choose its group, where the lower 32 stand for it: two shingles that agree in them only add a candidate."""
     spark = table.sparkSession
-    groups = runtime.shuffle_width(spark)
-    sketch = spark.sparkContext.broadcast(sketch_of(table))
-    rows = table.where(F.col("part") < 0).where(F.col("h").isNotNull()).select("class", "h", F.expr(carry).cast("bigint").alias("order"))
+    sets = table.where(F.col("part") < 0).where(F.col("h").isNotNull())
+    groups = groups or min(1 << 16, max(runtime.shuffle_width(spark), -(-sets.count() // SETS_OF_GROUP)))
+    sketch = spark.sparkContext.broadcast(sketch_of(table) if counts is None else counts)
+    rows = sets.select("class", "h", F.expr(carry).cast("bigint").alias("order"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
@@ -189,6 +195,11 @@ def verified(pairs: DataFrame, table: DataFrame, t: float) -> DataFrame:
 
     Sets of classes that are in no pair are held back before the shuffle by a bitmap of fixed size.
     """
+    return compared(pairs, table.where(F.col("part") < 0).where(F.col("h").isNotNull()).select("class", "h"), t)
+
+
+def compared(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """`verified` with the sets given as rows (class, h), of which a class may have several."""
     pairs = runtime.written(pairs, "candidates")
     wanted = runtime.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("class")), "class")
 
@@ -196,7 +207,7 @@ def verified(pairs: DataFrame, table: DataFrame, t: float) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(runtime.in_bitmap(wanted, b.column(0).to_numpy(zero_copy_only=False))))
 
-    sets = table.where(F.col("part") < 0).where(F.col("h").isNotNull()).select("class", "h").mapInArrow(held, "class bigint, h binary").groupBy("class").agg(F.first("h").alias("h"))
+    sets = rows.mapInArrow(held, "class bigint, h binary").groupBy("class").agg(F.first("h").alias("h"))
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("class").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,6 +146,17 @@ def test_repeats_against_brute_force(spark: SparkSession, seed: int) -> None:
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", [5, 8])
+def test_archive_gives_what_one_pass_gives(spark: SparkSession, tmp_path, seed: int) -> None:
+    rows = family(seed, 90)
+    df = articles(spark, rows)
+    want = {r[0] for r in history.repeats(df).collect()}
+    archive = history.Archive(spark, str(tmp_path))
+    got = {r[0] for n in range(4) for r in archive.add(df.where(F.col("batch_no") == n)).collect()}
+    assert got == want
+    assert len(archive.parts) <= 3
+
+
 def test_repeats_of_nothing(spark: SparkSession) -> None:
     assert history.repeats(articles(spark, [])).count() == 0
     assert history.repeats(articles(spark, [(1, 0, None, None, None, None), (2, 1, None, None, None, None), (3, 1, None, None, None, "")])).count() == 0
