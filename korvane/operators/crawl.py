@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from korvane import runtime
 from korvane.functions import urls as uf
+from korvane.operators import keyed
 
 #: (frontier with url) -> (url, status, body, final_url): what was fetched.
 Fetcher = Callable[[DataFrame], DataFrame]
@@ -73,3 +74,38 @@ def fetched_pages(frontier: DataFrame, fetch: Fetcher, config: CrawlConfig) -> D
     got = fetch(ready.select("url")).where((F.col("status") >= 200) & (F.col("status") < 400))
     name = uf.normalize_url(F.col("final_url"))
     return got.join(ready.select("url", "source"), "url").where(uf.url_store_allowed(name, config.articles_only)).select(name.alias("url"), "source", F.col("body").alias("html"), uf.content_hash(F.col("body")).alias("hash"))
+
+
+def seed_queue(queue: DataFrame, config: CrawlConfig, now: int) -> DataFrame:
+    """The queue with the seeds as pending at depth 0, if it is empty; a seed is judged as written and stored in its normal form."""
+    if not config.seeds or not queue.isEmpty():
+        return queue
+    rows = queue.sparkSession.createDataFrame(list(config.seeds), "url string, source string").where(uf.url_allowed(F.col("url"), config.allowed_domains, config.denied_extensions))
+    return keyed.insert_if_absent(queue, _pending(rows.select(uf.normalize_url(F.col("url")).alias("url"), "source", F.lit(0).alias("depth")), now), "url", [F.col("source")])
+
+
+def _pending(rows: DataFrame, now: int) -> DataFrame:
+    return rows.select("url", "source", "depth", F.lit("pending").alias("status"), F.lit(now).cast("bigint").alias("enqueued_at"), F.lit(None).cast("bigint").alias("started_at"), F.lit(None).cast("boolean").alias("revisit"))
+
+
+def step(queue: DataFrame, pages: DataFrame, fetch: Fetcher, config: CrawlConfig, now: int) -> tuple[DataFrame, DataFrame]:
+    """One round of a crawl that can stop and go on: due pages come back at depth 0, a batch is claimed, fetched and stored, its links wait one
+    level deeper, and what was claimed leaves the queue whether it came or not. Both tables are written to the shared folder.
+    """
+    ready = keyed.reset_processing(queue)
+    if config.revisit_seconds > 0:
+        ready = keyed.enqueue_revisits(ready, keyed.revisit_due(pages, now, config.revisit_seconds), now)
+    ready = runtime.written(ready, "queue")
+    claimed = runtime.written(keyed.claim(ready, config.batch) if config.batch else ready.where(F.col("status") == "pending"), "claimed")
+    allowed = claimed.where(uf.url_allowed(F.col("url"), config.allowed_domains, config.denied_extensions))
+    answers = fetch(allowed.select("url").distinct()).where((F.col("status") >= 200) & (F.col("status") < 400) & F.col("body").isNotNull())
+    got = runtime.written(answers.join(keyed.latest(allowed.select("url", "source", "depth"), ["url"], [-F.col("depth")]), "url"), "answers")
+    name = uf.normalize_url(F.col("final_url"))
+    fetched = got.where(uf.url_store_allowed(name, config.articles_only)).select(name.alias("url"), F.col("body").alias("html"), "source", uf.content_hash(F.col("body")).alias("hash"))
+    stored = runtime.written(keyed.store_pages(pages, fetched, now), "pages")
+    rest = keyed.dequeue(ready, claimed)
+    if config.follow_links:
+        deeper = got.where(F.col("depth") < config.max_depth)
+        found = links(deeper, config).join(deeper.select(F.col("url").alias("from_url"), "source", "depth"), "from_url").select("url", "source", (F.col("depth") + 1).alias("depth"))
+        rest = keyed.insert_if_absent(rest, _pending(found, now), "url", [F.col("depth"), F.col("source")])
+    return runtime.written(rest, "queue"), stored

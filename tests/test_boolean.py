@@ -55,3 +55,12 @@ def test_requests_and_page() -> None:
     assert boolean.query_of_request("POST", "/?q=a") is None
     assert boolean.query_of_request("GET", "/?x=1") == ""
     assert "<script>" not in boolean.render_page("<script>", 1, [(0, 'http://a/"><script>')])
+
+
+def test_command_line(spark: SparkSession, tmp_path, capsys: pytest.CaptureFixture[str]) -> None:
+    from korvane import cli
+
+    spark.createDataFrame([(i, t, f"http://d/{i}") for i, t in enumerate(CORPUS)], "doc_id bigint, text string, url string").write.parquet(f"{tmp_path}/documents")
+    cli.main(["index", f"{tmp_path}/documents", f"{tmp_path}/index"])
+    cli.main(["search", f"{tmp_path}/index", "unity не выстрел"])
+    assert capsys.readouterr().out == "Results: 1\n4\thttp://d/4\n"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from korvane import runtime
 from korvane.functions import urls as uf
 from korvane.operators import corpus, crawl, index, keyed, timestamps, zipf
-from korvane.sources import files
+from korvane.sources import fetch, files
 from korvane.streaming import crawl as streams
 
 
@@ -223,3 +223,47 @@ def test_shared_folder_and_bitmap(spark: SparkSession) -> None:
 
     assert runtime.in_bitmap(bits, np.array([r["h"] for r in keys.collect()], dtype=np.int64)).all()
     assert len(bits) * 8 == runtime.BITMAP
+
+
+def test_crawl_in_steps(spark: SparkSession) -> None:
+    site = {"http://a/": (200, b'<a href="http://a/x"><a href="http://a/p.pdf"><a href="http://b/">'), "http://a/x": (200, b'<a href="http://a/"><a href="http://a/y">'), "http://a/y": (500, b"")}
+    asked: list[str] = []
+
+    def opener(url: str, timeout_s: float) -> tuple[int, bytes, str]:
+        asked.append(url)
+        return (*site[url], url)
+
+    config = crawl.CrawlConfig(allowed_domains=("a",), denied_extensions=(".pdf",), max_depth=1, seeds=[("HTTP://A", "s")])
+    queue = spark.createDataFrame([], "url string, source string, depth int, status string, enqueued_at bigint, started_at bigint, revisit boolean")
+    pages = spark.createDataFrame([], "url string, html string, source string, fetched_at bigint, hash string, last_checked bigint")
+    queue = crawl.seed_queue(queue, config, 1)
+    get = fetch.http_fetcher(opener, pause_s=0.0)
+    queue, pages = crawl.step(queue, pages, get, config, 2)
+    assert [(r["url"], r["depth"], r["source"]) for r in queue.collect()] == [("http://a/x", 1, "s")]
+    queue, pages = crawl.step(queue, pages, get, config, 3)
+    assert queue.count() == 0 and {r["url"]: r["fetched_at"] for r in pages.collect()} == {"http://a/": 2, "http://a/x": 3}
+    again = crawl.CrawlConfig(allowed_domains=("a",), max_depth=0, revisit_seconds=1)
+    queue, pages = crawl.step(queue, pages, get, again, 10)
+    assert queue.count() == 0 and {r["url"]: (r["fetched_at"], r["last_checked"]) for r in pages.collect()} == {"http://a/": (2, 10), "http://a/x": (3, 10)}
+
+
+def test_retries() -> None:
+    calls: list[str] = []
+
+    def failing(url: str, timeout_s: float) -> tuple[int, bytes, str]:
+        calls.append(url)
+        if len(calls) < 3:
+            raise OSError("down")
+        return 200, b"ok", url
+
+    assert fetch.with_retries(failing, "u", 1.0, 3, 0.0)[1] == b"ok" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(OSError, match="down"):
+        fetch.with_retries(failing, "u", 1.0, 2, 0.0)
+
+
+def test_paginated_lists(spark: SparkSession) -> None:
+    answers = {None: '{"query": {"allpages": [{"title": "А б"}]}, "continue": {"apcontinue": "x"}}', "x": '{"query": {"allpages": [{"title": "C"}]}}'}
+    rows = files.wiki_titles(fetch.paginated(spark, answers.__getitem__)).collect()
+    assert [r["title"] for r in rows] == ["А б", "C"] and rows[0]["url"].endswith("/wiki/%D0%90_%D0%B1") and rows[0]["next"] == "x"
+    assert fetch.paginated(spark, answers.__getitem__, 1).count() == 1
