@@ -145,3 +145,12 @@ def _normal(url: str) -> str:
 
 
 SQL["crawl_bfs"] = SQL["crawl_bfs"].replace("{norm}", _normal("raw")).replace("{norm_url}", _normal("url"))
+
+
+def _meta(names: tuple[str, ...]) -> str:
+    pattern = """(?is)<meta\\s[^>]*?{a}\\s*=\\s*["'']{n}["''][^>]*?content\\s*=\\s*["'']([^"'']*)["'']"""
+    found = [f"nullif(trim(regexp_extract(html, '{pattern.format(a=a, n=n)}', 1)), '')" for n in names for a in ("name", "property")]
+    return f"coalesce({', '.join(found)})"
+
+
+SQL["meta_lookup"] = f"SELECT url, {_meta(('og:title', 'twitter:title'))} AS title, {_meta(('article:published_time', 'date', 'article:published'))} AS published_at FROM {_PAGES}"

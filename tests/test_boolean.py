@@ -64,3 +64,11 @@ def test_command_line(spark: SparkSession, tmp_path, capsys: pytest.CaptureFixtu
     cli.main(["index", f"{tmp_path}/documents", f"{tmp_path}/index"])
     cli.main(["search", f"{tmp_path}/index", "unity не выстрел"])
     assert capsys.readouterr().out == "Results: 1\n4\thttp://d/4\n"
+
+
+def test_terms_are_pushed_to_the_scan(spark: SparkSession, tmp_path) -> None:
+    docs = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id bigint, text string")
+    index.postings(docs).write.parquet(f"{tmp_path}/postings")
+    stored = spark.read.parquet(f"{tmp_path}/postings")
+    plan = boolean.search(stored, docs.select("doc_id"), "linux and unity")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [linux,unity])" in plan and "tf" not in plan.split("ReadSchema")[1].split("\n")[0]
