@@ -216,7 +216,11 @@ def test_upsert_stream(spark: SparkSession, tmp_path) -> None:
 
 def test_shared_folder_and_bitmap(spark: SparkSession) -> None:
     df = spark.range(10)
-    assert runtime.written(df, "t").count() == 10
+    kept = runtime.written(df, "t")
+    assert kept.count() == 10
+    assert runtime.clean(spark) >= 1 and runtime.clean(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT"):
+        kept.count()
     keys = spark.range(100).select(F.xxhash64("id").alias("h"))
     bits = runtime.bitmap(keys, "h")
     import numpy as np
