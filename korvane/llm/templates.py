@@ -4,8 +4,9 @@ Saved pages say what is template. A page's tree is split at the container that h
 host, see `markup`); the text of every element, hashed, lies inside or outside of it. Records whose page was saved show which of
 their lines these elements became, so every line of theirs is known. Spark counts hashed subtrees over all such pages, per host and
 over all hosts: the whole line, its ends without what varies between them, its parts between separators, its shape, and what stood
-before it. It also counts in how many records of its host each line recurs, for all records. Subtrees that recur outside the article
-get a high weight, those inside a low one; each line of every record is then kept or removed by the weights of its subtrees.
+before it. It also counts in how many records of its host each line recurs, for all records and exactly; a sketch only holds back the
+lines that surely stand in one. Subtrees that recur outside the article get a high weight, those inside a low one; each line of every
+record is then kept or removed by the weights of its subtrees.
 """
 
 from __future__ import annotations
@@ -95,14 +96,20 @@ def _sketch_slots(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (prints % np.uint64(half)).astype(np.int64), ((prints >> np.uint64(32)) % np.uint64(half)).astype(np.int64) + half
 
 
-def recurring_lines(df: DataFrame, host: str, text: str) -> np.ndarray:
-    """Sketch of in how many records of its host each line stands, over all records: a fixed number of counters."""
+def _prints(text: str, host: str) -> np.ndarray:
+    """Hashes of the distinct lines of a text that take part in the count of recurring lines."""
+    own = {y for y in text.split("\n") if len(y) <= 240 and y.strip()}
+    return np.unique(np.array([_line_print(host, x) for x in own], dtype=np.uint64))
+
+
+def _line_sketch(rows: DataFrame) -> np.ndarray:
+    """Sketch of in how many rows (host, text) each line stands: a fixed number of counters, never too low."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(SKETCH, dtype=np.uint32)
         for b in batches:
-            prints = [_line_print(h or "", x) for h, t in zip(b["host"], b["text"]) for x in {y for y in t.split("\n") if len(y) <= 240 and y.strip()}]
-            for slots in _sketch_slots(np.array(prints, dtype=np.uint64)):
+            prints = [_prints(t, h or "") for h, t in zip(b["host"], b["text"])]
+            for slots in _sketch_slots(np.concatenate([np.empty(0, dtype=np.uint64), *prints])):
                 sketch += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
         yield pd.DataFrame({"part": np.arange(PARTS), "data": [x.tobytes() for x in np.split(sketch, PARTS)]})
 
@@ -110,22 +117,55 @@ def recurring_lines(df: DataFrame, host: str, text: str) -> np.ndarray:
         total = sum((np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in group["data"]), np.zeros(SKETCH // PARTS, dtype=np.uint64))
         return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
 
-    rows = df.where(F.length(text) > 0).select(F.col(host).alias("host"), F.col(text).alias("text")).mapInPandas(count, "part int, data binary")
     out = np.zeros((PARTS, SKETCH // PARTS), dtype=np.uint32)
-    for r in rows.groupBy("part").applyInPandas(add, "part int, data binary").collect():
+    for r in rows.select("host", "text").mapInPandas(count, "part int, data binary").groupBy("part").applyInPandas(add, "part int, data binary").collect():
         out[r["part"]] = np.frombuffer(r["data"], dtype=np.uint32)
     return out.reshape(-1)
 
 
-def _lines(text: str, host: str, sketch: np.ndarray) -> list[tuple[int, str, int]]:
+def recurring_lines(rows: DataFrame) -> DataFrame:
+    """(record, content, prints, times): for each row (record, content, host, text) with such lines, the hashes of its lines that stand
+    in two or more records of its host, and in how many exactly.
+
+    Distinct records per line are counted by (line, record), then by line with partial counts, so a line that stands in a third of all
+    records is spread over all tasks. Lines that the sketch shows once stand in one record, as it is never too low; they are not moved.
+    """
+    sketch = rows.sparkSession.sparkContext.broadcast(_line_sketch(rows))
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counters = sketch.value
+        for b in batches:
+            own = [_prints(t, h or "") for h, t in zip(b["host"], b["text"])]
+            flat, at = np.concatenate([np.empty(0, dtype=np.uint64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            x, y = _sketch_slots(flat)
+            some = np.minimum(counters[x], counters[y]) > 1
+            at = at[some]
+            yield pd.DataFrame({"record": b["record"].to_numpy()[at], "content": b["content"].to_numpy()[at], "h": flat[some].view(np.int64)})
+
+    lines = runtime.written(rows.mapInPandas(held, "record bigint, content bigint, h bigint"), "line-prints")
+    often = lines.select("h", "record").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    found = lines.join(often, "h").groupBy("record", "content").agg(F.sort_array(F.collect_set(F.struct("h", "n"))).alias("x"))
+    return found.select("record", "content", F.col("x.h").alias("prints"), F.col("x.n").alias("times"))
+
+
+def _counted(articles: DataFrame, key: str, url: str, text: str, host: str) -> DataFrame:
+    """Written table (key, url, host, title, text, prints, times) of all rows with text: `recurring_lines` joined back. A record is what
+    has the same key; rows without key are records of their own unless they are equal."""
+    content = F.xxhash64(key, host, text)
+    record = F.when(F.col(key).isNull(), content).otherwise(F.xxhash64(key))
+    rows = articles.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(host).alias("host"), "title", F.col(text).alias("text"), record.alias("record"), content.alias("content"))
+    counts = recurring_lines(rows.select("record", "content", "host", "text"))
+    return runtime.written(rows.join(counts, ["record", "content"], "left").drop("record", "content"), "counted-lines")
+
+
+def _lines(text: str, host: str, prints: np.ndarray | None, times: np.ndarray | None) -> list[tuple[int, str, int]]:
     """(number, line, recurrence) of each non-blank line."""
+    often = dict(zip(prints.tolist(), times.tolist())) if prints is not None else {}
     own = [(i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip()]
-    if not own:
-        return []
-    prints = np.array([_line_print(host, x) if len(x) <= 240 else 0 for _, x in own], dtype=np.uint64)
-    a, b = _sketch_slots(prints)
-    times = np.minimum(sketch[a], sketch[b]).tolist()
-    return [(i, x, t if len(x) <= 240 else 1) for (i, x), t in zip(own, times)]
+    if not often:
+        return [(i, x, 1) for i, x in own]
+    hashes = np.array([_line_print(host, x) if len(x) <= 240 else 0 for _, x in own], dtype=np.uint64).view(np.int64).tolist()
+    return [(i, x, often.get(h, 1) if len(x) <= 240 else 1) for (i, x), h in zip(own, hashes)]
 
 
 def _page_sides(pages: DataFrame, url: str, page: str, host: str) -> DataFrame:
@@ -171,9 +211,9 @@ class Weights:
         return self.base + FACTOR * float(w.sum())
 
 
-def _known_lines(articles: DataFrame, pages: DataFrame, url: str, text: str, host: str, page: str) -> DataFrame:
-    """(host, title, text, inside, outside) of each record whose page was saved. What has no page is held back before the shuffle by a
-    bitmap of the pages' addresses, of fixed size."""
+def _known_lines(counted: DataFrame, pages: DataFrame, url: str, host: str, page: str) -> DataFrame:
+    """(host, title, text, prints, times, inside, outside) of each record whose page was saved. What has no page is held back before the
+    shuffle by a bitmap of the pages' addresses, of fixed size."""
     sides = runtime.written(_page_sides(pages, url, page, host), "page-sides")
     saved = runtime.bitmap(sides.select(F.xxhash64("url").alias("h")), "h")
 
@@ -181,11 +221,11 @@ def _known_lines(articles: DataFrame, pages: DataFrame, url: str, text: str, hos
         for b in batches:
             yield b[runtime.in_bitmap(saved, b["h"].to_numpy())].drop(columns=["h"])
 
-    rows = articles.where(F.col(url).isNotNull() & (F.length(text) > 0)).select(F.col(url).alias("url"), F.col(host).alias("host"), F.col("title"), F.col(text).alias("text"), F.xxhash64(url).alias("h"))
-    return rows.mapInPandas(held, "url string, host string, title string, text string").join(sides, "url")
+    rows = counted.where(F.col("url").isNotNull()).select("url", "host", "title", "text", "prints", "times", F.xxhash64("url").alias("h"))
+    return rows.mapInPandas(held, "url string, host string, title string, text string, prints array<bigint>, times array<bigint>").join(sides, "url")
 
 
-def learn(articles: DataFrame, pages: DataFrame, sketch: object, url: str = "url", text: str = "text", host: str = "source", page: str = "html") -> Weights:
+def learn(counted: DataFrame, pages: DataFrame, url: str = "url", host: str = "source", page: str = "html") -> Weights:
     """Weights of subtrees from all records whose page was saved. Counts are added up per slot in Spark; the driver gets their sums,
     SLOTS at most."""
 
@@ -193,9 +233,9 @@ def learn(articles: DataFrame, pages: DataFrame, sketch: object, url: str = "url
         counts = np.zeros((2, SLOTS), dtype=np.int32)
         total = [0, 0]
         for b in batches:
-            for host_name, title, body, within, without in zip(b["host"], b["title"], b["text"], b["inside"], b["outside"]):
+            for host_name, title, body, prints, recur, within, without in zip(b["host"], b["title"], b["text"], b["prints"], b["times"], b["inside"], b["outside"]):
                 within, without = set(within.tolist()), set(without.tolist())
-                lines = _lines(body, host_name or "", sketch.value)
+                lines = _lines(body, host_name or "", prints, recur)
                 before, before_shape = "^", "^"
                 for k, (_, line, times) in enumerate(lines):
                     name = xxhash.xxh3_64_intdigest(letters(line)) >> 1
@@ -211,19 +251,19 @@ def learn(articles: DataFrame, pages: DataFrame, sketch: object, url: str = "url
         some = np.flatnonzero(counts.any(axis=0))
         yield pd.DataFrame({"slot": np.r_[some, -1].astype(np.int64), "inside": np.r_[counts[0, some], total[0]], "outside": np.r_[counts[1, some], total[1]]})
 
-    rows = _known_lines(articles, pages, url, text, host, page).mapInPandas(count, "slot bigint, inside bigint, outside bigint")
+    rows = _known_lines(counted, pages, url, host, page).mapInPandas(count, "slot bigint, inside bigint, outside bigint")
     sums = rows.groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).where((F.col("slot") < 0) | (F.col("inside") + F.col("outside") >= 2)).toPandas()
     whole, own = sums[sums["slot"] < 0], sums[sums["slot"] >= 0]
     total = (int(whole["inside"].sum()), int(whole["outside"].sum()))
     return Weights(own["slot"].to_numpy(), own["inside"].to_numpy(dtype=np.float64), own["outside"].to_numpy(dtype=np.float64), total)
 
 
-def template_line_numbers(text: str | None, title: str | None, host: str | None, weights: Weights, sketch: np.ndarray) -> list[int]:
-    """Numbers of the non-blank lines of a text that are template."""
+def template_line_numbers(text: str | None, title: str | None, host: str | None, weights: Weights, prints: np.ndarray | None, recur: np.ndarray | None) -> list[int]:
+    """Numbers of the non-blank lines of a text that are template. prints, recur: its recurring lines as `recurring_lines` gives them."""
     found: list[int] = []
     if not text:
         return found
-    lines = _lines(text, host or "", sketch)
+    lines = _lines(text, host or "", prints, recur)
     before, before_shape = "^", "^"
     for k, (number, line, times) in enumerate(lines):
         keys, shape = subtrees(line, host or "", k, len(lines) - 1 - k, times)
@@ -250,17 +290,16 @@ def template_lines(articles: DataFrame, pages: DataFrame, key: str = "article_id
     spark = articles.sparkSession
     if "title" not in articles.columns:
         articles = articles.withColumn("title", F.lit(None).cast("string"))
-    sketch = spark.sparkContext.broadcast(recurring_lines(articles, host, text))
-    weights = spark.sparkContext.broadcast(learn(articles, pages, sketch, url, text, host, page))
+    rows = _counted(articles, key, url, text, host)
+    weights = spark.sparkContext.broadcast(learn(rows, pages, url, host, page))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(k, n) for k, h, t, x in zip(b["key"], b["host"], b["title"], b["text"]) for n in template_line_numbers(x, t, h, weights.value, sketch.value)]
+            found = [(k, n) for k, h, t, x, p, r in zip(b["key"], b["host"], b["title"], b["text"], b["prints"], b["times"]) for n in template_line_numbers(x, t, h, weights.value, p, r)]
             yield pd.DataFrame(found, columns=["key", "line_no"])
 
     kind = dict(articles.dtypes)[key]
-    rows = articles.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(host).alias("host"), "title", F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, line_no int").withColumnRenamed("key", key)
+    return rows.select("key", "host", "title", "text", "prints", "times").mapInPandas(run, f"key {kind}, line_no int").withColumnRenamed("key", key)
 
 
 def main_texts(articles: DataFrame, pages: DataFrame, key: str = "article_id", text: str = "text", **names: str) -> DataFrame:

@@ -303,6 +303,18 @@ def test_template_lines(spark: SparkSession) -> None:
     assert templates.template_lines(df.limit(0), pages).count() == 0
 
 
+def test_recurrence_is_exact_among_many_lines(spark: SparkSession) -> None:
+    names = ["".join(x) for x in itertools.product("абвгдежз", repeat=7)]
+    rnd = random.Random(3)
+    rnd.shuffle(names)
+    own = [[f"строка {x}" for x in names[i * 11_000 : (i + 1) * 11_000]] for i in range(60)]  # 660,000 lines that stand once
+    rows = [(i, 0, "s", None, None, "\n".join([*x, *["в четырёх записях"] * (i < 4), *["в пяти записях"] * 2 * (i < 5)])) for i, x in enumerate(own)]
+    rows += [(0, 0, "s", None, None, rows[0][5]), (90, 0, "t", None, None, "один\nв четырёх записях")]  # the same record again; another host
+    got = Counter(tuple(r) for r in templates.template_lines(articles(spark, rows), spark.createDataFrame([], "url string, html binary, source string")).collect())
+    want = Counter((i, n) for i in range(5) for n in ((11_002, 11_003) if i < 4 else (11_001, 11_002)))
+    assert got == want + Counter({(0, 11_002): 1, (0, 11_003): 1})
+
+
 TEXTS = ["", None, " ", "Hello  world\n\n it's 12345 — naïve ½ ² \x1c a\u00a0 b\t\tc", "слово " * 500, "a" * 5000, "ab" * 400 + "привет" * 300, "x" * 70_000 + " конец", "日本語テスト👩‍🔬🇺🇸", "don't WE'LL 'tis <|endoftext|>", "\n" * 300 + "z", "́a\u200bb\ufeff"]
 
 
