@@ -10,6 +10,9 @@ reach it are compared in full. Last, records are accepted in order of arrival.
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,6 +173,11 @@ class Archive:
     the newest directories are about as large as the one before, they are merged into one, so there are logarithmically many and each
     entry is rewritten a logarithmic number of times. Order of shingles and number of groups are those of the first batch for good: the
     guarantee of the routes needs one order for all, which need not be the best one.
+
+    What is in use is said by a manifest, written last of each add: directories and their sizes, groups, parameters, and where the sketch
+    lies. A new object on the folder goes on from the newest complete manifest; directories that none names (of an add that failed) are
+    not read. Nothing is overwritten: a folder that another object has added to since, or one with other parameters or with batches but
+    no manifest, raises ValueError.
     """
 
     _SEGMENT = "p int, keys binary, docs binary, classes binary, sizes binary, order binary, bits binary"
@@ -178,7 +186,39 @@ class Archive:
     def __init__(self, spark: SparkSession, folder: str, t: float = 0.5, k: int = 3, min_terms: int = 20) -> None:
         self.spark, self.folder, self.t, self.k, self.min_terms = spark, folder.rstrip("/"), t, k, min_terms
         self.parts: list[tuple[str, int]] = []  # directories in use and their sizes in records
-        self.number, self.counts, self.groups = 0, np.zeros(0, dtype=np.uint32), 0
+        self.number, self.counts, self.groups, self.version, self.sketch = 0, np.zeros(0, dtype=np.uint32), 0, 0, ""
+        self._load()
+
+    def _manifests(self) -> list[int]:
+        """Versions of the complete manifests in the folder."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
+        done = [int(n[9:]) for n in names if re.fullmatch(r"manifest=\d+", n) and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
+        if not done and any(re.fullmatch(r"batch=\d+", n) for n in names):
+            raise ValueError(f"{self.folder} holds batches without a manifest")
+        return sorted(done)
+
+    def _load(self) -> None:
+        done = self._manifests()
+        if not done:
+            return
+        kept = json.loads(self.spark.read.schema("manifest string").parquet(f"{self.folder}/manifest={done[-1]}").first()["manifest"])
+        own = {"t": self.t, "k": self.k, "min_terms": self.min_terms}
+        if kept["parameters"] != own:
+            raise ValueError(f"{self.folder} was made with {kept['parameters']}, not {own}")
+        self.parts = [(name, size) for name, size in kept["parts"]]
+        self.number, self.groups, self.version, self.sketch = kept["number"], kept["groups"], done[-1], kept["sketch"]
+        self.counts = np.frombuffer(self.spark.read.schema("counts binary").parquet(f"{self.folder}/{self.sketch}").first()["counts"], dtype=np.uint32)
+
+    def _save(self, parts: list[tuple[str, int]], number: int) -> None:
+        if not self.sketch:
+            name = f"sketch={uuid.uuid4().hex}"
+            self.spark.createDataFrame([(bytearray(self.counts.tobytes()),)], "counts binary").coalesce(1).write.mode("error").parquet(f"{self.folder}/{name}")
+            self.sketch = name
+        kept = {"parts": parts, "number": number, "groups": self.groups, "sketch": self.sketch, "parameters": {"t": self.t, "k": self.k, "min_terms": self.min_terms}}
+        self.spark.createDataFrame([(json.dumps(kept),)], "manifest string").coalesce(1).write.mode("error").parquet(f"{self.folder}/manifest={self.version + 1}")
+        self.parts, self.number, self.version = parts, number, self.version + 1
 
     def _read(self, what: str, parts: list[tuple[str, int]]) -> DataFrame:
         paths = [f"{self.folder}/{name}/{what}" for name, _ in parts]
@@ -187,10 +227,12 @@ class Archive:
     def add(self, df: DataFrame, key: str = "article_id", url: str = "url", text: str = "text") -> DataFrame:
         """(key): the records of a batch that repeat an accepted record, in order of key. The others are accepted. The first batch is
         accepted whole."""
+        if (self._manifests() or [0])[-1] != self.version:
+            raise ValueError(f"{self.folder} was added to by another object")
         first = not self.parts
         table = _table(df, key, None, url, text, self.k, self.min_terms)
         if first:
-            self.counts = shingles.sketch_of(table)
+            self.sketch, self.counts = "", shingles.sketch_of(table)
             self.groups = min(1 << 16, max(runtime.shuffle_width(self.spark), -(-table.count() // shingles.SETS_OF_GROUP)))
         rows = table.where(F.col("part") < 0)
         records = rows.select("id", "batch_no", "page", "class")
@@ -212,22 +254,24 @@ class Archive:
         return cases.select(F.col("id").alias(key))
 
     def _store(self, accepted: DataFrame, new: DataFrame, whole: bool) -> None:
-        name = f"batch={self.number}"
-        self.number += 1
+        parts, number = list(self.parts), self.number
+        name = f"batch={number}-{uuid.uuid4().hex}"
+        number += 1
         size = accepted.count()
         if not whole:  # only what was accepted enters the segments
             table = accepted.select("part", "id", "class", "h")
             new = shingles.routed(table, self.t, "0", self.counts, self.groups)
-        new.write.mode("overwrite").parquet(f"{self.folder}/{name}/segments")
-        accepted.where(F.col("h").isNotNull()).select("class", "h").dropDuplicates(["class"]).write.mode("overwrite").parquet(f"{self.folder}/{name}/sets")
-        accepted.select(F.explode(_names(F.col("page"), F.col("class"))).alias("name")).distinct().write.mode("overwrite").parquet(f"{self.folder}/{name}/names")
-        self.parts.append((name, size))
-        while len(self.parts) > 1 and self.parts[-2][1] < 2 * self.parts[-1][1]:
-            pair, merged = self.parts[-2:], f"merge={self.number}"
-            self.number += 1
+        new.write.mode("error").parquet(f"{self.folder}/{name}/segments")
+        accepted.where(F.col("h").isNotNull()).select("class", "h").dropDuplicates(["class"]).write.mode("error").parquet(f"{self.folder}/{name}/sets")
+        accepted.select(F.explode(_names(F.col("page"), F.col("class"))).alias("name")).distinct().write.mode("error").parquet(f"{self.folder}/{name}/names")
+        parts.append((name, size))
+        while len(parts) > 1 and parts[-2][1] < 2 * parts[-1][1]:
+            pair, merged = parts[-2:], f"merge={number}-{uuid.uuid4().hex}"
+            number += 1
             for what in self._KINDS:
-                self._read(what, pair).coalesce(runtime.shuffle_width(self.spark)).write.mode("overwrite").parquet(f"{self.folder}/{merged}/{what}")
-            self.parts[-2:] = [(merged, pair[0][1] + pair[1][1])]
+                self._read(what, pair).coalesce(runtime.shuffle_width(self.spark)).write.mode("error").parquet(f"{self.folder}/{merged}/{what}")
+            parts[-2:] = [(merged, pair[0][1] + pair[1][1])]
+        self._save(parts, number)
 
 
 def _aged(group: pd.DataFrame) -> pd.DataFrame:

@@ -157,6 +157,21 @@ def test_archive_gives_what_one_pass_gives(spark: SparkSession, tmp_path, seed:
     assert len(archive.parts) <= 3
 
 
+def test_archive_goes_on_in_a_new_object(spark: SparkSession, tmp_path) -> None:
+    df = articles(spark, family(6, 70))
+    want = {r[0] for r in history.repeats(df).collect()}
+    stale = history.Archive(spark, str(tmp_path))
+    got = {r[0] for n in range(4) for r in history.Archive(spark, str(tmp_path)).add(df.where(F.col("batch_no") == n)).collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        stale.add(df)
+    with pytest.raises(ValueError):
+        history.Archive(spark, str(tmp_path), t=0.6)
+    (tmp_path / "old" / "batch=0").mkdir(parents=True)
+    with pytest.raises(ValueError):
+        history.Archive(spark, str(tmp_path / "old"))
+
+
 def test_repeats_of_nothing(spark: SparkSession) -> None:
     assert history.repeats(articles(spark, [])).count() == 0
     assert history.repeats(articles(spark, [(1, 0, None, None, None, None), (2, 1, None, None, None, None), (3, 1, None, None, None, "")])).count() == 0
