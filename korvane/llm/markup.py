@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -110,12 +110,29 @@ def containers(text: str | None) -> dict[tuple[str, str], int]:
     return found
 
 
-def _votes(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
+_OF_BOTH = (("markdown", "heading"), ("markdown", "list"))
+_ENTRY = re.compile(r"^#[ \t]+(?!\[\[)\S", re.MULTILINE)
+
+
+def _sure_of(found: dict[tuple[str, str], int], language: str) -> bool:
+    """Whether a text holds a sure construct of a language, other than the headings and lists whose signs Markdown and wiki share."""
+    return any(p[0] == language and score > WEAK and p not in _OF_BOTH for p, score in found.items())
+
+
+def _rewritten(text: str | None) -> dict[tuple[str, str], int]:
+    """`containers`, and the weak path of wiki's numbered entries where nothing says that the text is Markdown."""
+    found = containers(text)
+    if found and not _sure_of(found, "markdown") and _ENTRY.search(text or ""):
+        found["wiki", "entry"] = WEAK
+    return found
+
+
+def _votes(df: DataFrame, key: str, host: str, text: str, paths: Callable[[str | None], dict[tuple[str, str], int]] = containers) -> DataFrame:
     """(key, host, markup, path, score): a row for each container path of each record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, h, language, path, score) for k, h, x in zip(b["key"], b["host"], b["text"]) for (language, path), score in containers(x).items()]
+            rows = [(k, h, language, path, score) for k, h, x in zip(b["key"], b["host"], b["text"]) for (language, path), score in paths(x).items()]
             yield pd.DataFrame(rows, columns=["key", "host", "markup", "path", "score"])
 
     kind = dict(df.dtypes)[key]
@@ -123,6 +140,16 @@ def _votes(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, f"key {kind}, host string, markup string, path string, score int")
 
 
+def _winners(votes_table: DataFrame, df: DataFrame, host: str, text: str, votes: int, share: float) -> DataFrame:
+    """(w_host, w_markup, w_path): weak paths that win their host's vote; see `markup_languages`."""
+    sure = votes_table.where(F.col("score") > WEAK).select("key", "markup").distinct()
+    weak = votes_table.where(F.col("score") == WEAK)
+    with_sure = weak.join(sure.withColumn("sure", F.lit(1)), ["key", "markup"], "left")
+    tally = with_sure.groupBy("host", "markup", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("sure", F.lit(0))).alias("backed"))
+    totals = df.where(F.length(text) > 0).groupBy(F.col(host).alias("t_host")).agg(F.count(F.lit(1)).alias("records"))
+    return tally.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("n") >= votes) & (F.col("n") >= share * F.col("records")) & (2 * F.col("backed") >= F.col("n"))).select(F.col("host").alias("w_host"), F.col("markup").alias("w_markup"), F.col("path").alias("w_path"))
+
+
 def markup_languages(df: DataFrame, key: str = "article_id", host: str = "source", text: str = "text", votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(key, markup): each record and language of which its text holds at least one construct, whole or damaged.
 
@@ -134,10 +161,7 @@ def markup_languages(df: DataFrame, key: str = "article_id", host: str = "source
     votes_table = runtime.written(_votes(df, key, host, text), "markup-votes")
     sure = votes_table.where(F.col("score") > WEAK).select("key", "markup").distinct()
     weak = votes_table.where(F.col("score") == WEAK)
-    with_sure = weak.join(sure.withColumn("sure", F.lit(1)), ["key", "markup"], "left")
-    tally = with_sure.groupBy("host", "markup", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("sure", F.lit(0))).alias("backed"))
-    totals = df.where(F.length(text) > 0).groupBy(F.col(host).alias("t_host")).agg(F.count(F.lit(1)).alias("records"))
-    won = tally.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("n") >= votes) & (F.col("n") >= share * F.col("records")) & (2 * F.col("backed") >= F.col("n"))).select(F.col("host").alias("w_host"), F.col("markup").alias("w_markup"), F.col("path").alias("w_path"))
+    won = _winners(votes_table, df, host, text, votes, share)
     joined = weak.join(won, F.col("host").eqNullSafe(F.col("w_host")) & (F.col("markup") == F.col("w_markup")) & (F.col("path") == F.col("w_path")), "left_semi")
     return sure.unionByName(joined.select("key", "markup")).distinct().withColumnRenamed("key", key)
 
@@ -147,10 +171,12 @@ _CODE = re.compile(r"(?is)<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(.*?)(?:</code>\s*)
 _FORMULA = re.compile(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|gather|displaymath)(\*?)\}.*?\\end\{\1\2\}|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,80}[\\^_{][^$\n]{0,80}\$(?![\d$])")
 
 
-def clean_text(text: str | None) -> str | None:
+def clean_text(text: str | None, won: frozenset[tuple[str, str]] = frozenset()) -> str | None:
     """The text without markup: headings as `# `, entries as `- `, code between fences, formulas between dollars; links and emphasis
-    leave their words. Null stays null, empty stays empty; a text without markup is returned as it is."""
-    if not text or not containers(text):
+    leave their words. Null stays null, empty stays empty; a text without markup is returned as it is. won: weak paths that win the vote
+    of the text's host; signs of lists, quotes and numbered wiki entries are read only where their path is among them, or for lists
+    where the text has a sure one."""
+    if not text or not (found := containers(text)):
         return text
     kept: list[str] = []
 
@@ -170,6 +196,12 @@ def clean_text(text: str | None) -> str | None:
     t = _CODE.sub(code, t)
     t = _FORMULA.sub(formula, t)
     t = re.sub(r"(?s)<!--.*?(?:-->|$)|(?i:<(script|style)\b.*?</\1>)", "", t)
+    if ("markdown", "quote") in won:
+        t = re.sub(r"(?m)^(?:>[ \t]+)+(?=\S)|^>[ \t]*$", "", t)
+    if ("wiki", "entry") in won and not _sure_of(found, "markdown"):
+        t = re.sub(r"(?m)^#{1,6}[ \t]+(?=\S)" if _sure_of(found, "wiki") else r"(?m)^#[ \t]+(?=\S)", "- ", t)
+    if ("markdown", "list") in won or found.get(("markdown", "list"), 0) > WEAK:
+        t = re.sub(r"(?m)^([ \t]*)(?:\*{1,6}|\+) +(?![*+\- \t]+$)(?=\S)", r"\1- ", t)
     t = re.sub(r"(?i)&amp;(?=(?:[a-z]{2,8}|#\d+);)", "&", t)
     t = re.sub(r"(?i)&lt;(/?(?:" + "|".join(_TAGS) + r")\b[^&<>]*)&gt;", r"<\1>", t)
     t = re.sub(r"(?i)<br\s*/?>", "\n", t)
@@ -203,15 +235,23 @@ def clean_text(text: str | None) -> str | None:
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
 
 
-def clean_texts(df: DataFrame, key: str = "article_id", text: str = "text") -> DataFrame:
-    """(key, text): every record with its clean text; null stays null."""
+def clean_texts(df: DataFrame, key: str = "article_id", text: str = "text", host: str = "source", votes: int = VOTES, share: float = SHARE) -> DataFrame:
+    """(key, text): every record with its clean text, read by the weak paths that win its host's vote; null stays null.
+
+    The vote is that of `markup_languages`, with the path of numbered wiki entries added. Records without host vote together. The winners
+    are a row for each host.
+    """
+    won = _winners(runtime.written(_votes(df, key, host, text, _rewritten), "text-votes"), df, host, text, votes, share)
+    of_host = won.groupBy("w_host").agg(F.collect_set(F.concat_ws("/", "w_markup", "w_path")).alias("won"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "text": b["text"].map(clean_text, na_action="ignore").astype(object).where(b["text"].notna(), None)})
+            own = [frozenset(tuple(p.split("/", 1)) for p in w) if w is not None else frozenset() for w in b["won"]]
+            yield pd.DataFrame({"key": b["key"], "text": pd.Series([clean_text(x, w) for x, w in zip(b["text"], own)], index=b.index, dtype=object)})
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(host).alias("host"))
+    return rows.join(of_host, F.col("host").eqNullSafe(F.col("w_host")), "left").select("key", "text", "won").mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 _ASIDE = re.compile(r"(?:a|nav|header|footer|aside|button|form)(?:[#.]|$)")

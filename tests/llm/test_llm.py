@@ -281,6 +281,15 @@ def test_clean_text(spark: SparkSession) -> None:
     assert {r["article_id"]: r["text"] for r in markup.clean_texts(articles(spark, rows, True)).collect()} == {1: None, 2: "x"}
 
 
+def test_clean_texts_by_winning_paths(spark: SparkSession) -> None:
+    texts = [("m", "**a** b\n* один\n+ два\n> цитата\n# Глава")] * 3 + [("m", "* три\n> слова"), ("p", "* три\n> слова\n# пункт"), (None, "* три")]
+    texts += [("w", "[[ссылка]]\n# пункт\n## ещё")] * 3 + [("w", "# пункт")]
+    got = {r["article_id"]: r["text"] for r in markup.clean_texts(articles(spark, [(i, 0, h, None, None, t) for i, (h, t) in enumerate(texts)], True)).collect()}
+    assert got[0] == "a b\n- один\n- два\nцитата\n# Глава" and got[3] == "- три\nслова"
+    assert got[4] == "* три\n> слова\n# пункт" and got[5] == "* три"
+    assert got[6] == "ссылка\n- пункт\n- ещё" and got[9] == "- пункт"
+
+
 def page(body: str, top: str = "Меню сайта", bottom: str = "Все права защищены") -> str:
     return f"<html><body><header>{top}</header><main><h1>T</h1>{body}</main><footer>{bottom}</footer></body></html>"
 
