@@ -51,14 +51,14 @@ def _line_print(host: str, line: str) -> int:
 
 def subtrees(line: str, host: str, at: int, left: int, recurs: int) -> tuple[list[str], str]:
     """Keys of a line's subtrees, and its shape. at, left: lines before and after it; recurs: records of its host that hold it."""
-    length = len(line)
-    if length > 240:  # the ends of a long line tell; its middle never recurs
+    plain = _DIGITS.sub("0", line.lower())
+    whole = _BLANK.sub(" ", plain).strip()
+    if len(line) > 240:  # shape, tokens and parts of a long line are those of its ends
         head, tail = _BLANK.sub(" ", _DIGITS.sub("0", line[:90].lower())).strip(), _BLANK.sub(" ", _DIGITS.sub("0", line[-90:].lower())).strip()
         tokens, n = _TOKEN.findall(head)[:4] + _TOKEN.findall(tail)[-4:], 40
         text, parts = head, []
     else:
-        plain = _DIGITS.sub("0", line.lower())
-        text = tail = _BLANK.sub(" ", plain).strip()
+        text = tail = whole
         tokens = _TOKEN.findall(text)
         n = sum(t[0].isalnum() for t in tokens)
         parts = [x for x in map(str.strip, _PARTING.split(plain)) if x]
@@ -70,7 +70,9 @@ def subtrees(line: str, host: str, at: int, left: int, recurs: int) -> tuple[lis
     shape = f"{words}{close}"
     signs = "".join(c for c in _SIGNS if c in text)
     times = min(8, recurs.bit_length())
-    keys = [f"F{text[:80]}", f"H{host}|{text[:80]}", f"s{shape}{lead}{signs}", f"S{shape}{min(at, 3)}", f"E{shape}{min(left, 3)}", f"R{times}{shape}", f"P{tokens[0]}|{shape}", f"m{' '.join(tokens[-3:-1])}"]
+    keys = [f"F{whole}", f"H{host}|{whole}", f"s{shape}{lead}{signs}", f"S{shape}{min(at, 3)}", f"E{shape}{min(left, 3)}", f"R{times}{shape}", f"P{tokens[0]}|{shape}", f"m{' '.join(tokens[-3:-1])}"]
+    if len(whole) > 80:
+        keys += (f"f{text[:80]}", f"h{host}|{text[:80]}", f"t{tail[-80:]}")
     for j in (1, 2, 3):
         keys += (f"p{' '.join(tokens[:j])}", f"q{' '.join(tokens[-j:])}")
     if len(parts) > 1 or n <= 2:
@@ -97,8 +99,8 @@ def _sketch_slots(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(text: str, host: str) -> np.ndarray:
-    """Hashes of the distinct lines of a text that take part in the count of recurring lines."""
-    own = {y for y in text.split("\n") if len(y) <= 240 and y.strip()}
+    """Hashes of the distinct non-blank lines of a text, each whole."""
+    own = {y for y in text.split("\n") if y.strip()}
     return np.unique(np.array([_line_print(host, x) for x in own], dtype=np.uint64))
 
 
@@ -124,7 +126,7 @@ def _line_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
-    """(record, content, prints, times): for each row (record, content, host, text) with such lines, the hashes of its lines that stand
+    """(record, content, prints, times): for each row (record, content, host, text) with such lines, of any length, the hashes of its lines that stand
     in two or more records of its host, and in how many exactly.
 
     Distinct records per line are counted by (line, record), then by line with partial counts, so a line that stands in a third of all
@@ -164,8 +166,8 @@ def _lines(text: str, host: str, prints: np.ndarray | None, times: np.ndarray |
     own = [(i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip()]
     if not often:
         return [(i, x, 1) for i, x in own]
-    hashes = np.array([_line_print(host, x) if len(x) <= 240 else 0 for _, x in own], dtype=np.uint64).view(np.int64).tolist()
-    return [(i, x, often.get(h, 1) if len(x) <= 240 else 1) for (i, x), h in zip(own, hashes)]
+    hashes = np.array([_line_print(host, x) for _, x in own], dtype=np.uint64).view(np.int64).tolist()
+    return [(i, x, often.get(h, 1)) for (i, x), h in zip(own, hashes)]
 
 
 def _page_sides(pages: DataFrame, url: str, page: str, host: str) -> DataFrame:

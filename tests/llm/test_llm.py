@@ -339,6 +339,16 @@ def test_recurrence_is_exact_among_many_lines(spark: SparkSession) -> None:
     assert got == want + Counter({(0, 11_002): 1, (0, 11_003): 1})
 
 
+def test_long_lines_are_told_by_the_whole(spark: SparkSession) -> None:
+    ends = "Условия пользования сайтом " * 6
+    notice, alike = ends + "и файлы для всех " * 5 + ends, [ends + "и слово " * i + ends for i in range(8, 14)]
+    keys = [set(templates.subtrees(x, "s", 0, 0, 1)[0]) for x in (notice, alike[0])]
+    assert all(any(k[0] == c for k in keys[0] - keys[1]) for c in "FH")
+    rows = [(i, 0, "s", None, None, f"{x}\n{notice}") for i, x in enumerate(alike)]
+    got = templates.template_lines(articles(spark, rows), spark.createDataFrame([], "url string, html binary, source string")).collect()
+    assert {tuple(r) for r in got} == {(i, 2) for i in range(6)}
+
+
 TEXTS = ["", None, " ", "Hello  world\n\n it's 12345 — naïve ½ ² \x1c a\u00a0 b\t\tc", "слово " * 500, "a" * 5000, "ab" * 400 + "привет" * 300, "x" * 70_000 + " конец", "日本語テスト👩‍🔬🇺🇸", "don't WE'LL 'tis <|endoftext|>", "\n" * 300 + "z", "́a\u200bb\ufeff"]
 
 
