@@ -3,9 +3,8 @@
 Merges never cross a boundary of the pre-tokenizer's pattern, so a text is cut there and each piece goes through the transducer.
 Inside a piece the transducer keeps, for each end position, the last token of the encoding of the bytes so far. That token is the
 only one that ends there and may follow the last token at its own start: two tokens may be neighbours if merging their joint
-bytes gives those two again, which is decided by walking down the two merge trees. No token is longer than LOOKAHEAD bytes, the
-sufficient lookahead of the merge list: what a byte further ahead can change lies within that distance. A ring of that many
-positions is all the state, and a token leaves once every live chain of tokens runs through it.
+bytes gives those two again, which is decided by walking down the two merge trees. How many bytes behind its end can still change a
+token, the sufficient lookahead, is worked out from the merge list; tokens that far back leave, and what is held stays bounded.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,7 +48,6 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.lookahead = max(map(len, ranks))
         self.split: dict[int, tuple[int, int] | None] = {}
         self.joined: dict[tuple[int, int], int] = {}
         single = {ranks[t] for t in ranks if len(t) == 1}
@@ -60,6 +58,7 @@ class Transducer:
                 pair = self._last_merge(token)
                 self.split[i] = pair
                 self.joined[pair] = i
+        self.lookahead = self._sufficient_lookahead()
         self.neighbours: dict[tuple[int, int], bool] = {}
         self.endings = {t[c:] for t in ranks for c in range(len(t))}
         self.pattern = regex.compile(PIECES)
@@ -95,76 +94,80 @@ class Transducer:
             else:
                 before, b = b + 1, right[0]
 
-    def stream(self, chunks: Iterator[bytes]) -> Iterator[int]:
-        """Ids of one piece that comes in chunks of bytes, each as soon as no further byte can change it."""
-        ranks, reach, may, endings = self.ranks, self.lookahead, self.may_follow, self.endings
-        tail = b""  # the last `reach` bytes
-        at, out = 0, 0  # bytes read; bytes whose tokens have left
-        last: dict[int, tuple[int, int] | None] = {0: None}  # end -> (token, start) for the ends still needed
+    def _sufficient_lookahead(self) -> int:
+        """Bytes behind a token's end after which no further byte can change it.
+
+        A merge (a, b) across an end is decided by b's bytes, and by what may take b's right side away before: an earlier merge (p, q)
+        with p on the right spine of b, which is itself decided by what follows q. `beyond` follows these chains along falling ranks.
+        """
+        beyond: dict[int, int] = {}  # left token -> bytes behind it that a merge met so far may need
+        most = 0
+        for (a, b), i in sorted(self.joined.items(), key=lambda x: x[1]):
+            need, p = 0, b
+            while True:
+                need = max(need, beyond.get(p, 0))
+                pair = self.split[p]
+                if pair is None:
+                    break
+                p = pair[1]
+            need += len(self.tokens[b])
+            beyond[a] = max(beyond.get(a, 0), need)
+            most = max(most, need)
+        return most
+
+    def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
+        """Ids of one piece that comes in chunks of bytes, each as soon as no further byte can change it. What is held is fewer than
+        three times the lookahead in bytes, and a chunk."""
+        ranks, may, endings, reach = self.ranks, self.may_follow, self.endings, self.lookahead
+        held, token_at, start_at = b"", [-1], [0]  # bytes behind the last settled token; for each end the last token and its start
+        before = -1  # the last settled token
         for chunk in chunks:
-            for byte in chunk:
-                tail = (tail + bytes((byte,)))[-reach:]
-                at += 1
-                for size in range(1, min(len(tail), at - out) + 1):
-                    part = tail[-size:]
-                    if part not in endings:
-                        break
-                    token = ranks.get(part)
-                    if token is None or (start := at - size) not in last:
-                        continue
-                    before = last[start]
-                    if before is None or may(before[0], token):
-                        last[at] = (token, start)
-                        break
-                if at - out >= 2 * reach:
-                    # A chain that is live ends within the last `reach` positions; where all chains pass, tokens are settled.
-                    chains = [self._chain(last, e) for e in range(at - reach + 1, at + 1) if e in last]
-                    shared = set(chains[0]).intersection(*chains[1:]) if chains else set()
-                    for end in sorted(shared):
-                        if end > out and end <= at - reach:
-                            for e in sorted(x for x in self._chain(last, end) if x > out):
-                                yield last[e][0]
-                            last[end] = (last[end][0], end)
-                            out = end
-                            last = {e: v for e, v in last.items() if e >= end}
-        for e in sorted(x for x in self._chain(last, at) if x > out):
-            yield last[e][0]
+            for at in range(0, len(chunk), reach):
+                done = len(held)
+                held += chunk[at : at + reach]
+                n = len(held)
+                for end in range(done + 1, n + 1):
+                    for start in range(end - 1, -1, -1):
+                        part = held[start:end]
+                        if part not in endings:
+                            break
+                        token = ranks.get(part)
+                        if token is None:
+                            continue
+                        left = token_at[start] if start else before
+                        if left < 0 and start == 0 or left >= 0 and may(left, token):
+                            token_at.append(token)
+                            start_at.append(start)
+                            break
+                    if len(token_at) == end:  # no chain of final tokens ends here
+                        token_at.append(-1)
+                        start_at.append(0)
+                if n >= 2 * reach:
+                    ends = self._ends(start_at, n)
+                    settled = [e for e in ends if e <= n - reach]
+                    if settled:
+                        for e in settled:
+                            yield token_at[e]
+                        cut = settled[-1]
+                        before, held = token_at[cut], held[cut:]
+                        # Chains that start before the cut lead nowhere any more: no final token crosses a settled end.
+                        token_at = [-1, *(t if s >= cut else -1 for t, s in zip(token_at[cut + 1 :], start_at[cut + 1 :]))]
+                        start_at = [0, *(max(0, s - cut) for s in start_at[cut + 1 :])]
+        for e in self._ends(start_at, len(held)):
+            yield token_at[e]
 
     @staticmethod
-    def _chain(last: dict[int, tuple[int, int] | None], end: int) -> list[int]:
+    def _ends(start_at: list[int], end: int) -> list[int]:
+        """Ends of the tokens of the chain that leads to `end`, in order."""
         ends = []
-        while (step := last.get(end)) is not None:
+        while end:
             ends.append(end)
-            if step[1] == end or step[1] not in last:
-                break
-            end = step[1]
-        ends.append(end)
-        return ends
+            end = start_at[end]
+        return ends[::-1]
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers."""
-        data = piece.encode("utf-8", "surrogatepass")
-        if (whole := self.ranks.get(data)) is not None:
-            return whole.to_bytes(4, "little")
-        n, ranks, may, endings = len(data), self.ranks, self.may_follow, self.endings
-        if n > 4 * self.lookahead:
-            return np.fromiter(self.stream(iter((data,))), dtype="<i4").tobytes()
-        token_at, start_at = [-1] * (n + 1), [0] * (n + 1)  # a short piece is within the ring: nothing needs to leave early
-        for end in range(1, n + 1):
-            for start in range(end - 1, -1, -1):
-                part = data[start:end]
-                if part not in endings:
-                    break
-                token = ranks.get(part)
-                if token is not None and (start == 0 or token_at[start] >= 0 and may(token_at[start], token)):
-                    token_at[end], start_at[end] = token, start
-                    break
-        ids = []
-        end = n
-        while end:
-            ids.append(token_at[end])
-            end = start_at[end]
-        return np.array(ids[::-1], dtype="<i4").tobytes()
+        return np.fromiter(self.stream((piece.encode("utf-8", "surrogatepass"),)), dtype="<i4").tobytes()
 
     def run(self, run: str) -> bytes:
         """Ids of a stretch of text that starts and ends where pieces do."""

@@ -400,6 +400,26 @@ def test_stream_settles_within_its_window() -> None:
             assert ids == whole and behind <= 8 * t.lookahead
 
 
+def test_stream_holds_a_bounded_window_of_hostile_strings() -> None:
+    """Any length and any chunks: the same ids, and never more than the stated bytes held."""
+    enc, t = reference_encoder(), bpe.transducer(bpe.vocabulary_path())
+    rnd = random.Random(9)
+    assert max(map(len, t.ranks)) <= t.lookahead < 2000
+    parts = ["ing", "tion", "ация", "ение", "s", "the", "a", "ст", "о"]
+    for text in ("a" * 20_000, "ab" * 9_000, "-=" * 9_000, "".join(rnd.choice(parts) for _ in range(6000)), "й" * 9_000, "0" * 20_000):
+        want = enc.encode_ordinary(text)
+        for piece_ids in (1, 700):
+            ids: list[int] = []
+            for piece in t.pattern.findall(text):
+                data = piece.encode()
+                stream = t.stream(data[j : j + piece_ids] for j in range(0, len(data), piece_ids))
+                for i in stream:
+                    ids.append(i)
+                    own = stream.gi_frame.f_locals
+                    assert len(own["held"]) <= 3 * t.lookahead and len(own["token_at"]) <= 3 * t.lookahead + 1
+            assert ids == want
+
+
 def test_decode_is_the_inverse() -> None:
     t = bpe.transducer(bpe.vocabulary_path())
     for x in TEXTS:
