@@ -2,13 +2,12 @@
 
 Each task takes its items in lots of a documented size. In a lot, the items are partial partitions of as many windows as the
 total needs; the two partitions with the largest imbalance are combined again and again, the fullest window of one with the
-emptiest of the other, until one partition is left, with near-equal windows. Where a window exceeds the capacity, the window count
-rises and the lot is divided again.
+emptiest of the other, until one partition is left, with near-equal windows. Windows that are full are containers, the items of the
+others are divided again in other company; what is left at the end is divided into more windows until none exceeds the capacity.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -21,7 +20,9 @@ from pyspark.sql import functions as F
 from korvane.llm import bpe
 
 #: Items of a lot, at least, where the task has as many; a lot has fewer than twice that. The lot bounds memory, not the input.
-LOT = 4000
+LOT = 16_000
+#: Items that are divided together.
+DRAW = 64
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -70,53 +71,42 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     return out
 
 
-def pack(sizes: np.ndarray, capacity: int, slack: float = 0.001, widest: float = 0.002) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, slack: float = 0.001, widest: float = 0.1) -> np.ndarray:
     """Container number of each item, none of which exceeds the capacity.
 
-    The items are divided into the fewest windows that can hold their total. Windows that came out within the slack under the
-    capacity are containers; the items of the others, over and under it, are divided anew, with twice the slack when few fit. Beyond
-    the widest slack the windows left over give up all but their largest item: a given item, largest first, goes to the fullest
-    window with room for it, and where none has room the window count rises.
+    The items are dealt into draws of DRAW, and each draw is divided into near-equal windows, as many as fill them to within the slack.
+    Windows that came out full but not over the capacity are containers; the items of the others meet new partners in the next
+    draws. Where few windows fit the slack grows. Beyond the widest slack all that is left is divided at once; while a window exceeds
+    the capacity the window count rises and they are divided again. Every container is a window of a division.
     """
     out, rest, used = np.empty(len(sizes), dtype=np.int64), np.arange(len(sizes)), 0
-    while len(rest):
+    deal = np.random.default_rng(len(sizes))
+    while len(rest) and slack <= widest:
+        dealt, again, fit, tried = deal.permutation(rest), [], 0, 0
+        for i in range(0, len(dealt), DRAW):
+            own = dealt[i : i + DRAW]
+            windows = max(1, round(int(sizes[own].sum()) / (capacity * (1 - slack / 2))))
+            at = difference(sizes[own], windows)
+            sums = np.bincount(at, weights=sizes[own], minlength=windows)
+            good = (sums <= capacity) & (sums >= capacity * (1 - slack))
+            chosen = good[at]
+            out[own[chosen]] = (np.cumsum(good) - 1 + used)[at[chosen]]
+            used += int(good.sum())
+            again.append(own[~chosen])
+            fit, tried = fit + int(good.sum()), tried + windows
+        rest = np.concatenate(again)
+        if fit < 0.05 * tried:
+            slack *= 1.25
+    if len(rest):
         own = sizes[rest]
         windows = max(1, -(-int(own.sum()) // capacity))
-        at = difference(own, windows)
-        sums = np.bincount(at, weights=own, minlength=windows)
-        good = (sums <= capacity) & (sums >= capacity * (1 - slack))
-        if slack > widest or windows < 4:
-            at = _refill(own, at, capacity)
-            good = np.ones(int(at.max()) + 1, dtype=bool)
-        elif good.mean() < 0.08:
-            slack *= 2
-        number = np.cumsum(good) - 1 + used
-        fit = good[at]
-        out[rest[fit]] = number[at[fit]]
-        used += int(good.sum())
-        rest = rest[~fit]
+        while np.bincount(at := difference(own, windows), weights=own).max() > capacity:
+            windows += 1
+        _, at = np.unique(at, return_inverse=True)
+        out[rest] = at + used
     return out
 
 
-def _refill(sizes: np.ndarray, at: np.ndarray, capacity: int) -> np.ndarray:
-    """The windows after each kept its largest item only and the others were given to the fullest window with room."""
-    at, order = at.copy(), np.argsort(-sizes, kind="stable")
-    _, first = np.unique(at[order], return_index=True)
-    kept = set(order[first].tolist())
-    windows = int(at.max()) + 1
-    room = sorted((capacity - int(sizes[i]), int(at[i])) for i in kept)
-    for i in order.tolist():
-        if i in kept:
-            continue
-        k = bisect.bisect_left(room, (int(sizes[i]), -1))
-        free, w = room.pop(k) if k < len(room) else (capacity, windows)
-        windows = max(windows, w + 1)
-        at[i] = w
-        bisect.insort(room, (free - int(sizes[i]), w))
-    _, at = np.unique(at, return_inverse=True)
-    return at
-
-
 def pack_documents(df: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, lot: int = LOT) -> DataFrame:
     """(key, part_no, n_tokens, container_id): the parts of each document with text and the containers that hold them.
 
