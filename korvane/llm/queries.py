@@ -84,8 +84,13 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
+def p10_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Hand-checked documents that nothing was fitted on: their kind, the kind found, how many."""
+    return text_quality.held_out_report(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_counts, p4_found, p4_classes, p6_found, p6_texts, p7_found, p7_texts, p7_pages, p8_ids, p9_containers, p10_found, p10_statistics, p10_held_out)}
 
 
 _TERM = r"[0-9A-Za-zЀ-ѿ]+(?:[-''][0-9A-Za-zЀ-ѿ]+)*"

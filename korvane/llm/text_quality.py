@@ -2,14 +2,16 @@
 
 Word and letter-pair counts over all documents say which words are common and which letters follow each other; every document's
 statistics use them. Gradient-boosted trees are trained on a bounded sample of documents that simple rules label weakly where they
-are sure; probabilities are calibrated on the hand-checked labels. Then every document is classified.
+are sure and that nobody labelled; probabilities are calibrated on one part of the hand-checked labels and measured on the other, which
+neither training nor calibration sees. Every document's statistics are worked out once and written; training, calibration, measurement
+and classification read them there.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from korvane import runtime
 
 KINDS = ("prose", "list", "table", "junk")
-#: Documents that are labelled weakly for training and hand labels that calibrate, at most; common words that are kept, at most.
-TRAIN_ROWS, CALIBRATE_ROWS, COMMON_WORDS = 6000, 3000, 4000
+#: Documents that are labelled weakly for training and hand-checked documents that calibrate or measure, at most; one hand-checked
+#: document of so many is held out to measure.
+TRAIN_ROWS, CALIBRATE_ROWS, HELD_OUT = 8000, 5000, 3
 #: Classes of letters in the table of pairs: a to z, four German letters, Russian letters, other letters, digits, space, other.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßабвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 _CLASSES = len(_LETTERS) + 4
@@ -67,7 +70,8 @@ _SPACED = re.compile(r"\S\s{2,}(?=\S)")
 _URL = re.compile(r"^\s*https?://\S+\s*$")
 _TAGGED = re.compile(r"(?<!\S)#\w+")
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}")
-_MIXED = re.compile(r"[A-Za-z]\d[A-Za-z]|[a-z][A-Z][a-z]?[A-Z]|0x[0-9a-f]{4,}|\b[0-9a-f]{12,}\b")
+_HEX = re.compile(r"0x[0-9a-f]{4,}|\b[0-9a-f]{12,}\b")
+_TAIL = re.compile(r"['\"»”)\]]*\s*[^\w;,]*$")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 STATISTICS = ("words", "mean_word_length", "symbol_share", "punctuated_lines", "common_words")
@@ -78,6 +82,24 @@ _NAMES = (
 )
 
 
+def _ends_sentence(line: str) -> bool:
+    """Whether _SENTENCE_END is found in a line. Without a bracket or tag only its last stop can be what ends it."""
+    if "(" in line or "#" in line:
+        return _SENTENCE_END.search(line) is not None
+    at = max(map(line.rfind, ".!?…"))
+    return at >= 0 and _TAIL.match(line, at + 1) is not None
+
+
+def _mixed(codes: np.ndarray) -> int:
+    """Places where ASCII letters and digits, or small letters and capitals, alternate as no word does."""
+    small, capital, digit = (codes >= 97) & (codes <= 122), (codes >= 65) & (codes <= 90), (codes >= 48) & (codes <= 57)
+    if len(codes) < 3:
+        return 0
+    letter = small | capital
+    n = int((letter[:-2] & digit[1:-1] & letter[2:]).sum()) + int((small[:-2] & capital[1:-1] & capital[2:]).sum())
+    return n + int((small[:-3] & capital[1:-2] & small[2:-1] & capital[3:]).sum())
+
+
 def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray) -> list[float]:
     """The numbers of _NAMES for a non-blank text. Shares lie between 0 and 1; `words` counts runs of letters."""
     lines = [x for x in (y.strip("\r ") for y in text.split("\n")) if x.strip()]
@@ -92,12 +114,12 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
     letters, digits, spaces, other = int(kinds[: _CLASSES - 3].sum()), int(kinds[-3]), int(kinds[-2]), int(kinds[-1])
     inside = (classes[1:] < _CLASSES - 4) & (classes[:-1] < _CLASSES - 4)
     seen = pairs[classes[:-1][inside], classes[1:][inside]] if chars > 1 else np.zeros(0)
-    ends = [_SENTENCE_END.search(x, max(0, len(x) - 120)) is not None for x in lines]
+    ends = [_ends_sentence(x) for x in lines]
     ended = sum(ends)
     line_words = [len(x.split()) for x in lines] or [0]
     sentence_lines = sum(c >= 4 and e for c, e in zip(line_words, ends))
     bullets = sum(_BULLET.match(x) is not None for x in lines)
-    leaders = sum(_LEADER.search(x, max(0, len(x) - 40)) is not None for x in lines)
+    leaders = sum(x[-1].isdigit() and _LEADER.search(x) is not None for x in map(str.rstrip, lines))
     sizes = np.array([len(x) for x in lines] or [0], dtype=np.float64)
     best_cells, best_alike, best_lines, best_numbers = 0.0, 0.0, 0.0, 0.0
     for sep in ("|", "\t", ";", ","):
@@ -116,14 +138,14 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
     sentences = [s.strip() for s in _SENTENCES.split(text) if s.strip()]
     vowels = int(kinds[_VOWELS].sum()) / max(1, letters)
     names = sum(bool(re.match(r"^[^\W\d_]+,\s*[^\W\d_]\.", x)) for x in lines)
-    colons = sum(": " in x[:40] for x in lines)
+    colons = sum(0 <= x.find(": ") < 0.6 * len(x) for x in lines)
     return [
         float(len(words)), float(lengths.mean()), other / chars, ended / n, sum(x in common for x in low) / w,
         float(np.log1p(chars)), float(np.log1p(n)), letters / chars, digits / chars, spaces / chars, sum(map(str.isupper, words)) / w, int(kinds[_CLASSES - 4]) / chars,
         float(((codes >= 0x80) & (codes < 0x100)).mean()), text.count("�") / chars, sentence_lines / n, bullets / n, leaders / n,
         float((sizes < 60).mean()), float(np.log1p(sizes.mean())), float(sizes.std() / (sizes.mean() + 1)), float(np.median(line_words)), sum(x[-1] in ";," for x in lines) / n, best_cells, best_lines, best_alike, best_numbers,
         spaced, sum(bool(_URL.match(x)) for x in lines) / n, min(1.0, len(_TAGGED.findall(text)) / w) if "#" in text else 0.0, 3 * len(_ESCAPED.findall(text)) / chars if "%" in text or "\\" in text else 0.0,
-        min(1.0, len(_MIXED.findall(text)) / w) if digits > 0.02 * chars else 0.0,
+        min(1.0, (_mixed(codes) + (len(_HEX.findall(text)) if digits else 0)) / w),
         len(set(low)) / w, len(set(lines)) / n, len(set(sentences)) / max(1, len(sentences)), float(np.log1p(max(map(len, text.split()), default=0))), float((lengths == 1).mean()),
         float(seen.mean()) if seen.size else -12.0, float((seen < -7.5).mean()) if seen.size else 1.0, vowels, float(lengths.std()), tops, names / n, colons / n, sum(x[:1].isupper() for x in words) / w,
         sum(len(x) <= 4 and x in common for x in low) / w, sum(a[1:] != b[1:] and not a.isupper() for a, b in zip(words, low)) / w, float(((codes >= 0x7F) & (codes < 0xA0)).mean()),
@@ -253,8 +275,9 @@ class Calibration:
 
 
 def corpus_counts(df: DataFrame, text: str = "text") -> tuple[frozenset[str], np.ndarray]:
-    """The common words (in at least 1 % of the documents with text, at most COMMON_WORDS of them) and log shares of letter pairs,
-    counted over every document. Workers send their distinct words and one table of fixed size each."""
+    """The common words (in at least 1 % of the documents with text) and log shares of letter pairs, counted over every document.
+    Workers send their distinct words and one table of fixed size each. There are at most a hundred times as many common words as a document
+    has distinct words on average, however many documents there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(_CLASSES * _CLASSES, dtype=np.int64)
@@ -271,7 +294,7 @@ def corpus_counts(df: DataFrame, text: str = "text") -> tuple[frozenset[str], np
     texts = df.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("text"))
     counts = runtime.written(texts.mapInPandas(count, "word string, pair int, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n")), "text-counts")
     total = texts.count()
-    words = counts.where((F.col("pair") < 0) & (F.col("n") >= 0.01 * total)).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    words = counts.where((F.col("pair") < 0) & (F.col("n") >= 0.01 * total)).select("word")
     table = np.zeros(_CLASSES * _CLASSES)
     for r in counts.where(F.col("pair") >= 0).select("pair", "n").collect():  # a fixed number of rows
         table[r["pair"]] = r["n"]
@@ -291,15 +314,50 @@ def _not_blank(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[[bool(x.strip()) for x in rows["text"]]]
 
 
-def _measured(rows: DataFrame, common: object, pairs: object) -> pd.DataFrame:
-    """Statistics of a bounded frame (key, text, kind), worked out by the executors."""
+def _statistics_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Written table (key, own, weak): each non-blank document's statistics, packed, and the kind that a rule is sure of or -1."""
+    spark = df.sparkSession
+    common, pairs = corpus_counts(df, text)
+    common_b, pairs_b = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in map(_not_blank, batches):
-            own = [np.array(statistics(x, common.value, pairs.value), dtype=np.float64).tobytes() for x in b["text"]]
-            yield pd.DataFrame({"kind": b["kind"], "own": own})
+            own = [np.array(statistics(x, common_b.value, pairs_b.value), dtype=np.float64) for x in b["text"]]
+            yield pd.DataFrame({"key": b["key"].to_numpy(), "own": [x.tobytes() for x in own], "weak": np.array([weak_kind(x) for x in own], dtype=np.int32)})
+
+    kind = dict(df.dtypes)[key]
+    rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return runtime.written(rows.mapInPandas(run, f"key {kind}, own binary, weak int"), "text-statistics")
+
 
-    return rows.mapInPandas(run, "kind string, own binary").toPandas()
+def _matrix(own: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(own), dtype=np.float64).reshape(-1, len(_NAMES))
+
+
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """At most n rows, in order of a hash of their key."""
+    return rows.orderBy(F.xxhash64("key"), "key").limit(n)
+
+
+def _fitted(table: DataFrame, labels: DataFrame | None, key: str, train_rows: int, calibrate_rows: int) -> tuple[Trees, Calibration, pd.DataFrame]:
+    """Trees of documents without a label, their calibration on labelled ones, and (kind, said, probability) of those held out."""
+    unseen = table.where(F.col("weak") >= 0)
+    if labels is not None:
+        unseen = unseen.join(labels.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct(), "key", "left_anti")
+    sample = _first(unseen.dropDuplicates(["key"]), train_rows).select("own", "weak").toPandas()
+    model, scale, held = Trees(), Calibration(len(KINDS)), pd.DataFrame({"kind": [], "said": [], "probability": []})
+    if sample["weak"].nunique() > 1:
+        model.fit(_matrix(sample["own"]), sample["weak"].to_numpy(dtype=np.int64), len(KINDS))
+    if labels is None or not model.trees:
+        return model, scale, held
+    hand = majority(labels, key).select(F.col(key).alias("key"), "kind")
+    known = _first(table.join(hand, "key").dropDuplicates(["key"]), calibrate_rows).select("kind", "own", (F.pmod(F.xxhash64("key", F.lit("held out")), F.lit(HELD_OUT)) == 0).alias("out")).toPandas()
+    if len(known):
+        score, kind, out = model.score(_matrix(known["own"])), known["kind"].map(KINDS.index).to_numpy(dtype=np.int64), known["out"].to_numpy(dtype=bool)
+        scale.fit(score[~out], kind[~out])
+        p = scale.probabilities(score[out])
+        held = pd.DataFrame({"kind": known["kind"][out].to_numpy(), "said": [KINDS[i] for i in p.argmax(axis=1)], "probability": p[np.arange(len(p)), kind[out]]})
+    return model, scale, held
 
 
 def text_kinds(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, calibrate_rows: int = CALIBRATE_ROWS) -> DataFrame:
@@ -307,38 +365,21 @@ def text_kinds(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
 
     words: runs of letters; symbol_share: characters that are no letter, digit or white space; punctuated_lines: non-blank lines
     ending a sentence; common_words: words that at least 1 % of the documents hold. Counts cover all documents; only the trees are
-    fitted on a sample, of at most train_rows documents in order of a hash of their key, and calibrated on at most calibrate_rows
-    labelled ones. Null, empty and blank texts give no row; repeated rows give repeated rows; without documents that a rule is sure of
-    everything is prose; further columns are not read.
+    fitted on a sample, of at most train_rows documents that a rule is sure of and nobody labelled, in order of a hash of their key, and
+    calibrated on labelled ones (at most calibrate_rows, less those held out). Null, empty and blank texts give no row; repeated rows
+    give repeated rows; without documents that a rule is sure of everything is prose; further columns are not read.
     """
     spark = df.sparkSession
-    common, pairs = corpus_counts(df, text)
-    common_b, pairs_b = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(pairs)
-    rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    draw = lambda ids, n: ids.orderBy(F.xxhash64("key"), "key").limit(n)
-    chosen = draw(rows.select("key").distinct(), train_rows)
-    sample = _measured(rows.join(chosen, "key", "left_semi").withColumn("kind", F.lit(None).cast("string")), common_b, pairs_b)
-    x = np.frombuffer(b"".join(sample["own"]), dtype=np.float64).reshape(-1, len(_NAMES))
-    y = np.array([weak_kind(s) for s in x], dtype=np.int64)
-    sure = y >= 0
-    model = Trees()
-    if len(np.unique(y[sure])) > 1:
-        model.fit(x[sure], y[sure], len(KINDS))
-    scale = Calibration(len(KINDS))
-    if labels is not None and model.trees:
-        hand = majority(labels, key).select(F.col(key).alias("key"), "kind")
-        known = _measured(rows.join(draw(hand, calibrate_rows), "key").dropDuplicates(["key"]).select("key", "text", "kind"), common_b, pairs_b)
-        if len(known):
-            seen = np.frombuffer(b"".join(known["own"]), dtype=np.float64).reshape(-1, len(_NAMES))
-            scale.fit(model.score(seen), known["kind"].map(KINDS.index).to_numpy(dtype=np.int64))
+    table = _statistics_table(df, key, text)
+    model, scale, _ = _fitted(table, labels, key, train_rows, calibrate_rows)
     model_b = spark.sparkContext.broadcast((model, scale))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, calibration = model_b.value
-        for b in map(_not_blank, batches):
+        for b in batches:
             if not len(b):
                 continue
-            s = np.array([statistics(t, common_b.value, pairs_b.value) for t in b["text"]], dtype=np.float64)
+            s = _matrix(b["own"])
             if trees.trees:
                 p = calibration.probabilities(trees.score(s))
                 best = p.argmax(axis=1)
@@ -349,4 +390,13 @@ def text_kinds(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
             yield out.assign(key=b["key"].to_numpy(), words=out["words"].astype("int64"), kind=kind, probability=probability)[["key", *STATISTICS, "kind", "probability"]]
 
     kind = dict(df.dtypes)[key]
+    rows = table.select("key", "own")
     return rows.mapInPandas(run, f"key {kind}, words bigint, mean_word_length double, symbol_share double, punctuated_lines double, common_words double, kind string, probability double").withColumnRenamed("key", key)
+
+
+def held_out_report(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, calibrate_rows: int = CALIBRATE_ROWS) -> DataFrame:
+    """(kind, said, documents, probability): hand-checked documents that neither training nor calibration saw, by their kind and the one
+    that `text_kinds` says, with the mean probability of the right one. No row without labels or documents a rule is sure of."""
+    _, _, held = _fitted(_statistics_table(df, key, text), labels, key, train_rows, calibrate_rows)
+    rows = [(k, s, len(g), float(g["probability"].mean())) for (k, s), g in held.groupby(["kind", "said"])]
+    return df.sparkSession.createDataFrame(rows, "kind string, said string, documents bigint, probability double")

@@ -519,6 +519,25 @@ def test_text_kinds_on_held_out_rows(spark: SparkSession) -> None:
     assert text_quality.text_kinds(df.limit(0), labels).count() == 0
 
 
+def test_held_out_documents_are_neither_trained_nor_calibrated_on(spark: SparkSession) -> None:
+    rows = quality_rows()
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "a", k) for i, _, k in rows if k and i % 2 == 0], "doc_id bigint, annotator string, kind string")
+    report = text_quality.held_out_report(df, labels).collect()
+    n = sum(r["documents"] for r in report)
+    assert 20 < n < 80 and sum(r["documents"] for r in report if r["kind"] == r["said"]) > 0.95 * n
+    # Wrong labels cannot teach the trees: labelled documents are out of the training sample.
+    wrong = labels.withColumn("kind", F.lit("junk"))
+    model, _, _ = text_quality._fitted(text_quality._statistics_table(df, "doc_id", "text"), wrong, "doc_id", 8000, 5000)
+    assert model.trees
+    assert text_quality.held_out_report(df, labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["Конец.", "конец", "Он сказал «да».", "so (see p. 3).", "x. #tag #other", "a; b", "wait... ", "one. two, three", "1. Punkt", "Ende?)", "«Да!» — сказал", ""])
+def test_sentence_ends_are_those_of_the_pattern(line: str) -> None:
+    assert text_quality._ends_sentence(line) == (text_quality._SENTENCE_END.search(line) is not None)
+
+
 def test_majority_of_labels(spark: SparkSession) -> None:
     rows = [(1, "a", "list"), (1, "a", "list"), (1, "b", "prose"), (2, "a", "junk"), (2, "b", "junk"), (2, "c", "prose"), (3, "a", None)]
     got = text_quality.majority(spark.createDataFrame(rows, "doc_id bigint, annotator string, kind string"))
