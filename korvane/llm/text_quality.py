@@ -107,6 +107,7 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
     words = _WORD.findall(text)
     low = [w.lower() for w in words]
     w = len(words) or 1
+    times, capitals = Counter(low), [a for a, b in zip(words, low) if a != b]
     lengths = np.fromiter(map(len, words), dtype=np.float64, count=len(words)) if words else np.zeros(1)
     codes = _codes(text)
     classes = _classes_of(codes)
@@ -134,21 +135,22 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
             best_alike, best_lines, best_cells = alike, len(rows) / n, sum(rows) / len(rows)
             best_numbers = sum(bool(_CELL.match(c)) for c in cells) / len(cells)
     spaced = sum(_SPACED.search(x) is not None for x in lines) / n if "  " in text else 0.0
-    tops = Counter(low).most_common(1)[0][1] / w if words else 0.0
+    tops = max(times.values()) / w if words else 0.0
+    common_times = [(x, c) for x, c in times.items() if x in common]
     sentences = [s.strip() for s in _SENTENCES.split(text) if s.strip()]
     vowels = int(kinds[_VOWELS].sum()) / max(1, letters)
     names = sum(bool(re.match(r"^[^\W\d_]+,\s*[^\W\d_]\.", x)) for x in lines)
     colons = sum(0 <= x.find(": ") < 0.6 * len(x) for x in lines)
     return [
-        float(len(words)), float(lengths.mean()), other / chars, ended / n, sum(x in common for x in low) / w,
-        float(np.log1p(chars)), float(np.log1p(n)), letters / chars, digits / chars, spaces / chars, sum(map(str.isupper, words)) / w, int(kinds[_CLASSES - 4]) / chars,
+        float(len(words)), float(lengths.mean()), other / chars, ended / n, sum(c for _, c in common_times) / w,
+        float(np.log1p(chars)), float(np.log1p(n)), letters / chars, digits / chars, spaces / chars, sum(map(str.isupper, capitals)) / w, int(kinds[_CLASSES - 4]) / chars,
         float(((codes >= 0x80) & (codes < 0x100)).mean()), text.count("�") / chars, sentence_lines / n, bullets / n, leaders / n,
         float((sizes < 60).mean()), float(np.log1p(sizes.mean())), float(sizes.std() / (sizes.mean() + 1)), float(np.median(line_words)), sum(x[-1] in ";," for x in lines) / n, best_cells, best_lines, best_alike, best_numbers,
         spaced, sum(bool(_URL.match(x)) for x in lines) / n, min(1.0, len(_TAGGED.findall(text)) / w) if "#" in text else 0.0, 3 * len(_ESCAPED.findall(text)) / chars if "%" in text or "\\" in text else 0.0,
         min(1.0, (_mixed(codes) + (len(_HEX.findall(text)) if digits else 0)) / w),
-        len(set(low)) / w, len(set(lines)) / n, len(set(sentences)) / max(1, len(sentences)), float(np.log1p(max(map(len, text.split()), default=0))), float((lengths == 1).mean()),
-        float(seen.mean()) if seen.size else -12.0, float((seen < -7.5).mean()) if seen.size else 1.0, vowels, float(lengths.std()), tops, names / n, colons / n, sum(x[:1].isupper() for x in words) / w,
-        sum(len(x) <= 4 and x in common for x in low) / w, sum(a[1:] != b[1:] and not a.isupper() for a, b in zip(words, low)) / w, float(((codes >= 0x7F) & (codes < 0xA0)).mean()),
+        len(times) / w, len(set(lines)) / n, len(set(sentences)) / max(1, len(sentences)), float(np.log1p(max(map(len, text.split()), default=0))), float((lengths == 1).mean()),
+        float(seen.mean()) if seen.size else -12.0, float((seen < -7.5).mean()) if seen.size else 1.0, vowels, float(lengths.std()), tops, names / n, colons / n, sum(x[:1].isupper() for x in capitals) / w,
+        sum(c for x, c in common_times if len(x) <= 4) / w, sum(a[1:] != a[1:].lower() and not a.isupper() for a in capitals) / w, float(((codes >= 0x7F) & (codes < 0xA0)).mean()),
     ]
 
 
@@ -335,8 +337,10 @@ def _matrix(own: Iterable[bytes]) -> np.ndarray:
 
 
 def _first(rows: DataFrame, n: int) -> DataFrame:
-    """At most n rows, in order of a hash of their key."""
-    return rows.orderBy(F.xxhash64("key"), "key").limit(n)
+    """At most n rows, in order of a hash of their key. Rows far behind the n-th are held back first, so that no task sends n of its own."""
+    share = min(1.0, 1.2 * n / max(1, rows.count()))
+    hashed = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("key"), 1)).where(F.col("_h") <= min((1 << 63) - 1, int(share * (1 << 63))))
+    return hashed.orderBy("_h", "key").limit(n).drop("_h")
 
 
 def _fitted(table: DataFrame, labels: DataFrame | None, key: str, train_rows: int, calibrate_rows: int) -> tuple[Trees, Calibration, pd.DataFrame]:
