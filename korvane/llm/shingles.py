@@ -9,12 +9,12 @@ are put in the same one. No shingle, class or candidate is dropped for being fre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane import runtime
@@ -31,7 +31,11 @@ def shingles_of(text: str | None, k: int, min_terms: int) -> np.ndarray:
     found = terms(text)
     if len(found) < max(min_terms, k):
         return np.empty(0, dtype=np.uint64)
-    p = term_prints(found)
+    return of_prints(term_prints(found), k)
+
+
+def of_prints(p: np.ndarray, k: int) -> np.ndarray:
+    """Shingles of a sequence of term prints that has at least k of them."""
     n = len(p) - k + 1
     h = np.zeros(n, dtype=np.uint64)
     for i in range(k):
@@ -115,6 +119,11 @@ def signature(own: np.ndarray) -> np.ndarray:
 SETS_OF_GROUP = 8192
 
 
+def groups_for(spark: SparkSession, sets: int) -> int:
+    """Number of groups for so many sets: at least that of shuffle partitions, and as many as SETS_OF_GROUP asks for."""
+    return max(runtime.shuffle_width(spark), -(-sets // SETS_OF_GROUP))
+
+
 def routed(table: DataFrame, t: float, carry: str = "0", counts: np.ndarray | None = None, groups: int | None = None) -> DataFrame:
     """Rows (p, keys, docs, classes, sizes, order, bits): for each batch of sets and each group p, the rare-first prefixes' shingles
     that belong to p, and of the sets that have any: class, size, a carried number and signature. Packed, so that millions of
@@ -123,7 +132,7 @@ def routed(table: DataFrame, t: float, carry: str = "0", counts: np.ndarray | No
     bits of a shingle choose its group, where the lower 32 stand for it: two shingles that agree in them only add a candidate."""
     spark = table.sparkSession
     sets = table.where(F.col("part") < 0).where(F.col("h").isNotNull())
-    groups = groups or min(1 << 16, max(runtime.shuffle_width(spark), -(-sets.count() // SETS_OF_GROUP)))
+    groups = groups or groups_for(spark, sets.count())
     sketch = spark.sparkContext.broadcast(sketch_of(table) if counts is None else counts)
     rows = sets.select("class", "h", F.expr(carry).cast("bigint").alias("order"))
 
@@ -198,8 +207,8 @@ def verified(pairs: DataFrame, table: DataFrame, t: float) -> DataFrame:
     return compared(pairs, table.where(F.col("part") < 0).where(F.col("h").isNotNull()).select("class", "h"), t)
 
 
-def compared(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
-    """`verified` with the sets given as rows (class, h), of which a class may have several."""
+def compared(pairs: DataFrame, rows: DataFrame, t: float, read: Callable[[bytes], np.ndarray] = from_bytes) -> DataFrame:
+    """`verified` with the sets given as rows (class, h), of which a class may have several. read: a set from its h."""
     pairs = runtime.written(pairs, "candidates")
     wanted = runtime.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("class")), "class")
 
@@ -214,7 +223,7 @@ def compared(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
         for b in batches:
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                own, other = from_bytes(x), from_bytes(y)
+                own, other = read(x), read(y)
                 shared = len(np.intersect1d(own, other, assume_unique=True))
                 good.append(shared >= t * (len(own) + len(other) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, type=pa.bool_()))

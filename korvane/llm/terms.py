@@ -26,12 +26,12 @@ def terms(text: str | None) -> list[str]:
 
 
 class _Prints(dict):
-    """64-bit fingerprint of a term; remembers up to a bound."""
+    """64-bit fingerprint of a term, smaller for longer terms: six bits of its length over 58 of a hash. Remembers up to a bound."""
 
     def __missing__(self, term: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        value = self[term] = xxhash.xxh3_64_intdigest(term)
+        value = self[term] = (63 - min(len(term), 63)) << 58 | xxhash.xxh3_64_intdigest(term) >> 6
         return value
 
 

@@ -28,24 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete the tables that this session has written so far, and say how many. Call it once their results are stored: frames that
-    read them cannot be run again afterwards."""
+def mark() -> int:
+    """What `clean` may go back to."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that this session has written so far, or since a mark, and say how many. Call it once their results are stored:
+    frames that read them cannot be run again afterwards."""
     n = 0
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, which `clean` deletes like a written table."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

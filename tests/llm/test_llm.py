@@ -177,18 +177,47 @@ def test_repeats_of_nothing(spark: SparkSession) -> None:
     assert history.repeats(articles(spark, [(1, 0, None, None, None, None), (2, 1, None, None, None, None), (3, 1, None, None, None, "")])).count() == 0
 
 
-def test_segments_merge_and_find() -> None:
-    rnd = np.random.default_rng(1)
-    kept, everything = history.Segments(), []
-    for n in (50, 3, 4, 60, 1, 200):
-        keys = rnd.integers(0, 40, n).astype(np.uint32)
-        docs = rnd.integers(0, 1000, n)
-        kept.add(keys, docs)
-        everything += list(zip(keys.tolist(), docs.tolist()))
-        asked = np.array([7, 39, 100], dtype=np.uint32)
-        found = Counter((a, b) for s in kept.own for x, y in s.matches(asked, np.array([0, 1, 2])) for a, b in zip(x.tolist(), y.tolist()))
-        assert found == Counter((i, d) for i, k in enumerate(asked.tolist()) for key, d in everything if key == k)
-    assert len(kept.own) <= 6
+def test_segments_are_sorted_and_find_what_they_hold(spark: SparkSession) -> None:
+    rows = [r for r in family(7, 60) if len(sets_of(r[5])) > 0]
+    table = history._table(articles(spark, rows), "article_id", None, "url", "text", 3, 20)
+    packed = history._stretches(table.where(F.col("class").isNotNull()), 0.5, 3, np.zeros(shingles.SKETCH, dtype=np.uint32), 2).toPandas()
+    own = {r["class"]: history._set_of(r["sequence"], 3) for r in table.where(F.col("class").isNotNull()).collect()}
+    whole = history.Segment.built(packed[packed["p"] == 0], 3)
+    first, second = whole.keys(whole.places.astype(np.int64))
+    order = list(zip(first.tolist(), second.tolist()))
+    assert order == sorted(order) and len(set(whole.classes.tolist())) == len(whole.classes)
+    half = len(packed[packed["p"] == 0]) // 2
+    one, two = (history.Segment.built(g, 3) for g in (packed[packed["p"] == 0].iloc[:half], packed[packed["p"] == 0].iloc[half:]))
+    merged = one.merged(two)
+    again = merged.keys(merged.places.astype(np.int64))[0]
+    assert (np.diff(again.astype(object)) >= 0).all() and sorted(again.tolist()) == sorted(first.tolist())
+    assert sorted(merged.classes.tolist()) == sorted(whole.classes.tolist())
+    # Both groups together: coverage is the number of chosen windows that a pair shares, and no similar pair stays below its need.
+    covered: Counter = Counter()
+    need = {}
+    for p in (0, 1):
+        s = history.Segment.built(packed[packed["p"] == p], 3)
+        for r in s.covered(s, 0.5, True).itertuples(index=False):
+            covered[min(r.a, r.b), max(r.a, r.b)] += r.covered
+            need[min(r.a, r.b), max(r.a, r.b)] = r.need
+    for a, b in itertools.combinations(sorted(own), 2):
+        shared = len(np.intersect1d(own[a], own[b]))
+        assert covered[a, b] <= shared
+        if shared >= 0.5 * (len(own[a]) + len(own[b]) - shared):
+            assert covered[a, b] >= need[a, b]
+
+
+def test_archive_sends_the_batch_to_the_stored_arrays(spark: SparkSession, tmp_path) -> None:
+    """The plan of a look-up neither sorts nor shuffles what is stored, and reads no sequence of a text that no pair asks for."""
+    df = articles(spark, family(6, 70))
+    archive = history.Archive(spark, str(tmp_path))
+    archive.add(df.where(F.col("batch_no") == 0))
+    stored = archive._read("segments", archive.parts)
+    asks = F.broadcast(stored.select(*(F.col(c).alias(f"n_{c}") for c in history._COLUMNS)))
+    plan = stored.join(asks, F.col("p") == F.col("n_p"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+    with pytest.raises(ValueError):
+        history.Archive(spark, str(tmp_path / "x"), k=9)
 
 
 def test_term_counts_against_counters(spark: SparkSession) -> None:
