@@ -157,10 +157,7 @@ class Segment:
         pairs, back = np.unique(both, return_inverse=True)
         n = np.bincount(back, weights=counts, minlength=len(pairs)).astype(np.int64)
         u, v = pairs // max(1, len(self.classes)), pairs % max(1, len(self.classes))
-        # Of n - ceil(t n) + 1 windows chosen in a set, at most n - shared can be unmatched; the set whose choice ends earlier decides.
-        sizes = np.stack([asked.sizes[u], self.sizes[v]])
-        shared = np.ceil(t / (1 + t) * sizes.sum(axis=0) - 1e-9)
-        need = np.maximum(1, (shared - np.ceil(t * sizes - 1e-9) + 1).min(axis=0)).astype(np.int64)
+        need = shingles.least_covered(asked.sizes[u], self.sizes[v], t)
         return pd.DataFrame({"a": asked.classes[u], "b": self.classes[v], "covered": n, "need": need})
 
 

@@ -124,8 +124,25 @@ WITH line AS (
 """
 
 
+#: Distinct runs of three terms of every text with at least 20 terms, and all similar pairs.
+_P4 = f"""
+WITH worded AS (
+    SELECT article_id, list_transform(regexp_extract_all(text, '{_TERM}'), lambda x: {_LOWER.format("x")}) AS w FROM articles
+), shingle AS (
+    SELECT DISTINCT article_id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS s FROM (SELECT article_id, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 20)
+), sized AS (
+    SELECT article_id, count(*) AS n FROM shingle GROUP BY article_id
+), near AS (
+    SELECT a.article_id AS x, b.article_id AS y FROM shingle a JOIN shingle b ON a.s = b.s AND a.article_id < b.article_id
+    JOIN sized m ON m.article_id = a.article_id JOIN sized n ON n.article_id = b.article_id
+    GROUP BY a.article_id, b.article_id, m.n, n.n HAVING count(*) >= 0.5 * (m.n + n.n - count(*))
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _P4 + "SELECT x AS article_id_a, y AS article_id_b FROM near",
         "p3_found": _P3 + "SELECT field, value, mark FROM marks WHERE mark IS NOT NULL",
         "p3_counts": _P3 + "SELECT field, value, occurrences, records, mark FROM marks",
         "p6_found": _P6 + "SELECT article_id, line_no FROM lettered JOIN often USING (source, letters)",

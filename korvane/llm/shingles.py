@@ -108,6 +108,14 @@ def prefix_length(n: int, t: float) -> int:
     return n - int(np.ceil(t * n - 1e-9)) + 1
 
 
+def least_covered(m: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
+    """How many shingles the prefixes of sets of sizes m and n have in common at least, if the sets are similar to t: of the
+    ceil(t n) - 1 outside of a prefix all may be shared, and the set whose prefix ends earlier decides."""
+    sizes = np.stack([m, n])
+    shared = np.ceil(t / (1 + t) * sizes.sum(axis=0) - 1e-9)
+    return np.maximum(1, (shared - np.ceil(t * sizes - 1e-9) + 1).min(axis=0)).astype(np.int64)
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """Bitmap of a set: one bit of 64 * WORDS for each shingle."""
     bits = np.zeros(64 * WORDS, dtype=bool)
@@ -124,22 +132,20 @@ def groups_for(spark: SparkSession, sets: int) -> int:
     return max(runtime.shuffle_width(spark), -(-sets // SETS_OF_GROUP))
 
 
-def routed(table: DataFrame, t: float, carry: str = "0", counts: np.ndarray | None = None, groups: int | None = None) -> DataFrame:
-    """Rows (p, keys, docs, classes, sizes, order, bits): for each batch of sets and each group p, the rare-first prefixes' shingles
-    that belong to p, and of the sets that have any: class, size, a carried number and signature. Packed, so that millions of
-    shingles move as a few rows. counts, groups: the sketch and number of groups to keep to, where others were routed before; else
-    those of this table, with as many groups as spark.sql.shuffle.partitions and SETS_OF_GROUP ask for. The upper 16
-    bits of a shingle choose its group, where the lower 32 stand for it: two shingles that agree in them only add a candidate."""
+def routed(table: DataFrame, t: float) -> DataFrame:
+    """Rows (p, keys, docs, classes, sizes, bits): for each batch of sets and each group p, the rare-first prefixes' shingles that
+    belong to p, and of the sets that have any: class, size and signature. Packed, so that millions of shingles move as a few rows. The upper
+    16 bits of a shingle choose its group, where the lower 32 stand for it: two shingles that agree in them only add a candidate."""
     spark = table.sparkSession
     sets = table.where(F.col("part") < 0).where(F.col("h").isNotNull())
-    groups = groups or groups_for(spark, sets.count())
-    sketch = spark.sparkContext.broadcast(sketch_of(table) if counts is None else counts)
-    rows = sets.select("class", "h", F.expr(carry).cast("bigint").alias("order"))
+    groups = groups_for(spark, sets.count())
+    sketch = spark.sparkContext.broadcast(sketch_of(table))
+    rows = sets.select("class", "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
         for b in batches:
-            b = b.sort_values("order", kind="stable").drop_duplicates("class")  # copies within a batch: the first stands for all
+            b = b.drop_duplicates("class")  # copies within a batch: one stands for all
             keys, lengths, sizes, bits = [], [], [], []
             for h in b["h"]:
                 own = from_bytes(h)
@@ -155,14 +161,14 @@ def routed(table: DataFrame, t: float, carry: str = "0", counts: np.ndarray | No
             group = ((flat >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(group, kind="stable")
             flat, doc, group = flat[order], doc[order], group[order]
-            classes, sizes, bits, carried = b["class"].to_numpy(), np.array(sizes, dtype=np.int32), np.array(bits), b["order"].to_numpy()
+            classes, sizes, bits = b["class"].to_numpy(), np.array(sizes, dtype=np.int32), np.array(bits)
             out = []
             for p, s, e in _spans(group):
                 some, at = np.unique(doc[s:e], return_inverse=True)
-                out.append((p, (flat[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), at.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32).tobytes(), classes[some].tobytes(), sizes[some].tobytes(), carried[some].tobytes(), bits[some].tobytes()))
-            yield pd.DataFrame(out, columns=["p", "keys", "docs", "classes", "sizes", "order", "bits"])
+                out.append((p, (flat[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), at.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32).tobytes(), classes[some].tobytes(), sizes[some].tobytes(), bits[some].tobytes()))
+            yield pd.DataFrame(out, columns=["p", "keys", "docs", "classes", "sizes", "bits"])
 
-    return rows.mapInPandas(run, "p int, keys binary, docs binary, classes binary, sizes binary, order binary, bits binary")
+    return rows.mapInPandas(run, "p int, keys binary, docs binary, classes binary, sizes binary, bits binary")
 
 
 def _spans(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
@@ -177,19 +183,16 @@ class Group:
     """What has met in a group: shingles with the place of their set, and the sets."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
-        keys, docs, classes, sizes, order, bits, base = [], [], [], [], [], [], 0
+        keys, docs, classes, sizes, bits, base = [], [], [], [], [], 0
         for r in rows.itertuples(index=False):
             keys.append(np.frombuffer(r.keys, dtype=np.uint32))
             docs.append(np.frombuffer(r.docs, dtype=np.uint16 if len(r.docs) * 2 == len(r.keys) else np.uint32).astype(np.int64) + base)
             classes.append(np.frombuffer(r.classes, dtype=np.int64))
             sizes.append(np.frombuffer(r.sizes, dtype=np.int32))
-            order.append(np.frombuffer(r.order, dtype=np.int64))
             bits.append(np.frombuffer(r.bits, dtype=np.uint64).reshape(-1, WORDS))
             base += len(classes[-1])
-        at, cl, od = np.concatenate(docs), np.concatenate(classes), np.concatenate(order)
-        first = np.lexsort((od, cl))  # copies from other batches fall together here
-        keep = first[np.r_[True, cl[first][1:] != cl[first][:-1]]]
-        self.classes, self.order = cl[keep], od[keep]
+        at, cl = np.concatenate(docs), np.concatenate(classes)
+        self.classes, keep = np.unique(cl, return_index=True)  # copies from other batches fall together here
         self.sizes, self.bits = np.concatenate(sizes)[keep].astype(np.int64), np.concatenate(bits)[keep]
         place = np.searchsorted(self.classes, cl)
         stays = np.zeros(len(cl), dtype=bool)

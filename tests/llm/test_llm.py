@@ -91,7 +91,7 @@ def test_near_duplicate_pairs_against_brute_force(spark: SparkSession, seed: int
 def test_near_duplicate_classes(spark: SparkSession) -> None:
     rows = family(4)
     own = {r[0]: sets_of(r[5], 5, 5) for r in rows}
-    got = {r["article_id"]: (r["class"], r["links"]) for r in near_duplicates.near_duplicate_classes(articles(spark, rows)).collect()}
+    got = {r["article_id"]: (r["class"], r["links"]) for r in near_duplicates.near_duplicate_classes(articles(spark, rows), t=0.8, k=5, min_terms=5).collect()}
     assert set(got) == set(own)
     for a, s in own.items():
         assert (got[a][0] is None) == (not s)
@@ -110,7 +110,8 @@ def test_many_copies_stay_one_entry(spark: SparkSession) -> None:
     assert members.select("class").distinct().count() == 2 and links.count() == 1
 
 
-def test_forest_equals_all_pairs() -> None:
+@pytest.mark.parametrize("shingles_held", [1, 40])
+def test_tree_equals_all_pairs(shingles_held: int) -> None:
     rnd = np.random.default_rng(3)
     base = [np.unique(rnd.integers(0, 1 << 40, 60, dtype=np.uint64)) for _ in range(12)]
     sets = [np.unique(np.concatenate([b[: len(b) - int(c)], rnd.integers(0, 1 << 40, int(c), dtype=np.uint64)])) for b in base for c in rnd.integers(0, 25, 9)]
@@ -121,7 +122,9 @@ def test_forest_equals_all_pairs() -> None:
         bits = np.array([shingles.signature(s) for s in sets])
         ones = np.bitwise_count(np.array([shingles.signature(s) for s in sets])).sum(axis=1).astype(np.int64)
 
-    u, v = near_duplicates.Forest(Given, np.argsort(Given.sizes, kind="stable"), np.zeros(len(sets), dtype=np.int64)).pairs(0.5)
+    order = np.argsort(Given.sizes, kind="stable")  # every set under each of so many shingles
+    u, v = near_duplicates.SignatureTree(Given, np.repeat(np.arange(shingles_held), len(sets)), np.tile(order, shingles_held)).pairs(0.5)
+    assert len(set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist()))) * shingles_held == len(u)
     found = {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())}
     for i, j in itertools.combinations(range(len(sets)), 2):
         shared = len(np.intersect1d(sets[i], sets[j]))
