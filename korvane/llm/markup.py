@@ -1,10 +1,11 @@
 """Markup residue in texts: which languages a text holds, and the clean text that keeps headings, lists, code and formulas.
 
 Every construct of a text is a container with a generalised path: language, tag or construct, class with digits masked. It scores
-`WHOLE` when it is well formed, `DAMAGED` when only its own mark can be seen, and `WEAK` when plain text has such signs too. Hosts
-write in one house style, so weak containers are put to a vote: per host, the records that hold a path add their scores, and a path
-wins with enough of them. Texts are then read again by winning paths. Saved pages vote in the same way on the tag-class path of the
-container that holds the article, and are extracted again by the winner.
+`WHOLE` when it is well formed, `DAMAGED` when only its own mark can be seen, and `WEAK` when plain text has such signs too. All
+containers are put to a vote of their host: the records that hold a path add their scores. A path that is never more than weak needs many
+records and the company of others of its language; any other wins with one score of DAMAGED. Texts are then read again by their
+host's winning paths alone: the languages found are those of their winning containers, and only what won is rewritten. Saved pages vote
+in the same way on the tag-class path of the container that holds the article, and are extracted again by the winner.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from korvane import runtime
 WHOLE, DAMAGED, WEAK = 3, 2, 1
 #: Records of a host that must hold a weak path, at least, and their share of the host's records.
 VOTES, SHARE = 3, 0.002
+#: Hosts whose winners (a short list of kinds each) are sent to all tasks; beyond, they meet the texts in a join, each host's in so many parts.
+HOSTS_SENT, SALTS = 20_000, 16
 
 # Element names of HTML.
 _TAGS = (
@@ -83,7 +86,7 @@ _RULES: tuple[tuple[str, str, int, str], ...] = (
     ("latex", "group", WHOLE, r"\{\\[a-z]{2,}[ \t]"),
     ("latex", "display", WHOLE, r"\\\[.+?\\\]|\\\(.+?\\\)|\$\$[^$\n]+\$\$"),
     ("latex", "display", DAMAGED, r"\\\[|\\\]|\$\$(?=\S)"),
-    ("latex", "inline", WHOLE, r"(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,80}[\\^_{][^$\n]{0,80}\$(?![\d$])"),
+    ("latex", "inline", WHOLE, r"(?<![\\$\w])\$(?=[^\s$])[^$\n\\^_{]*+[\\^_{][^$\n]*+\$(?![\d$])"),
 )
 _ONE = tuple((language, what, score, re.compile(pattern, re.MULTILINE)) for language, what, score, pattern in _RULES)
 #: A character that each rule needs: most texts have few of them, so most rules are never tried.
@@ -141,43 +144,109 @@ def _votes(df: DataFrame, key: str, host: str, text: str, paths: Callable[[str |
 
 
 def _winners(votes_table: DataFrame, df: DataFrame, host: str, text: str, votes: int, share: float) -> DataFrame:
-    """(w_host, w_markup, w_path): weak paths that win their host's vote; see `markup_languages`."""
+    """(w_host, w_markup, w_path): paths that win their host's vote; see `markup_languages`. Pre-aggregated to a row for each host and path."""
     sure = votes_table.where(F.col("score") > WEAK).select("key", "markup").distinct()
-    weak = votes_table.where(F.col("score") == WEAK)
-    with_sure = weak.join(sure.withColumn("sure", F.lit(1)), ["key", "markup"], "left")
-    tally = with_sure.groupBy("host", "markup", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("sure", F.lit(0))).alias("backed"))
+    held = votes_table.groupBy("host", "markup", "path").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.sum("score").alias("score"))
+    weak = votes_table.where(F.col("score") == WEAK).join(sure, ["key", "markup"], "left_semi").groupBy("host", "markup", "path").agg(F.count(F.lit(1)).alias("backed"))
+    at = [F.col("host").eqNullSafe(F.col("b_host")), F.col("markup") == F.col("b_markup"), F.col("path") == F.col("b_path")]
+    tally = held.join(weak.select(*(F.col(c).alias(f"b_{c}") for c in ("host", "markup", "path")), "backed"), at, "left")
     totals = df.where(F.length(text) > 0).groupBy(F.col(host).alias("t_host")).agg(F.count(F.lit(1)).alias("records"))
-    return tally.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("n") >= votes) & (F.col("n") >= share * F.col("records")) & (2 * F.col("backed") >= F.col("n"))).select(F.col("host").alias("w_host"), F.col("markup").alias("w_markup"), F.col("path").alias("w_path"))
+    enough = (F.col("n") >= votes) & (F.col("n") >= share * F.col("records")) & (2 * F.coalesce("backed", F.lit(0)) >= F.col("n"))
+    won = F.when(F.col("best") > WEAK, F.col("score") >= DAMAGED).otherwise(enough)
+    return tally.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where(won).select(F.col("host").alias("w_host"), F.col("markup").alias("w_markup"), F.col("path").alias("w_path"))
 
 
 def markup_languages(df: DataFrame, key: str = "article_id", host: str = "source", text: str = "text", votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(key, markup): each record and language of which its text holds at least one construct, whole or damaged.
-
-    A weak path counts where it wins its host's vote: at least `votes` records and `share` of the host's records with text hold the
-    path, and at least half of those hold a sure construct of that language too. Null and empty texts hold nothing; records without
-    host vote together; repeated rows give one row per key; an empty table gives none; further columns are not read. The vote is
-    pre-aggregated to one row per host and path, so a host with a third of all rows sends a few rows from each task.
+    """(key, markup): each record and language of which its text holds at least one construct, whole or damaged, on a path that wins
+    its host's vote.
+
+    A path that some record of the host has more than weakly wins with a score of DAMAGED in all; one that is only weak needs
+    `votes` records and `share` of the host's records with text, and at least half of those must hold a sure construct of that language
+    too. Null and empty texts hold nothing; records without host vote together; repeated rows give one row per key; an empty table gives
+    none; further columns are not read. The vote is pre-aggregated to one row per host and path, so a host with a third of all rows sends
+    a few rows from each task.
     """
     votes_table = runtime.written(_votes(df, key, host, text), "markup-votes")
-    sure = votes_table.where(F.col("score") > WEAK).select("key", "markup").distinct()
-    weak = votes_table.where(F.col("score") == WEAK)
-    won = _winners(votes_table, df, host, text, votes, share)
-    joined = weak.join(won, F.col("host").eqNullSafe(F.col("w_host")) & (F.col("markup") == F.col("w_markup")) & (F.col("path") == F.col("w_path")), "left_semi")
-    return sure.unionByName(joined.select("key", "markup")).distinct().withColumnRenamed("key", key)
+    won = runtime.written(_winners(votes_table, df, host, text, votes, share), "winning-paths")
+    at = F.col("host").eqNullSafe(F.col("w_host")) & (F.col("markup") == F.col("w_markup")) & (F.col("path") == F.col("w_path"))
+    return votes_table.join(won, at, "left_semi").select("key", "markup").distinct().withColumnRenamed("key", key)
 
 
 _BLOCKS = re.compile(r"(?i)</?(?:p|div|tr|ul|ol|dl|table|tbody|thead|section|article|header|footer|main|aside|nav|figure|blockquote|form)\b[^<>]*>")
 _CODE = re.compile(r"(?is)<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre>|^```[^\n]*\n(.*?)^```[ \t]*\r?$|\\begin\{(?:verbatim|lstlisting)\}(.*?)\\end\{(?:verbatim|lstlisting)\}", re.MULTILINE)
-_FORMULA = re.compile(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|gather|displaymath)(\*?)\}.*?\\end\{\1\2\}|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,80}[\\^_{][^$\n]{0,80}\$(?![\d$])")
+_FORMULA = re.compile(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|gather|displaymath)(\*?)\}.*?\\end\{\1\2\}|(?<![\\$\w])\$(?=[^\s$])[^$\n\\^_{]*+[\\^_{][^$\n]*+\$(?![\d$])")
+
+
+def _without_html(t: str) -> str:
+    t = re.sub(r"(?s)<!--.*?(?:-->|$)|(?i:<(script|style)\b.*?</\1>)", "", t)
+    t = re.sub(r"(?i)&amp;(?=(?:[a-z]{2,8}|#\d+);)", "&", t)
+    t = re.sub(r"(?i)&lt;(/?(?:" + "|".join(_TAGS) + r")\b[^&<>]*)&gt;", r"<\1>", t)
+    t = re.sub(r"(?i)<br\s*/?>", "\n", t)
+    t = re.sub(r"(?is)<h([1-6])\b[^<>]*>(.*?)</h\1>", lambda m: "\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n", t)
+    t = re.sub(r"(?i)<li\b[^<>]*>", "\n- ", t)
+    t = re.sub(r"(?i)</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", t)
+    t = _BLOCKS.sub("\n", t)
+    return re.sub(rf"(?i){_TAG}|</?(?:{'|'.join(_TAGS)})\b[^<>\n]*(?=<|$|\n)", "", t, flags=re.MULTILINE)
+
+
+def _without_wiki(t: str, read: set[str]) -> str:
+    if "heading" in read:
+        t = re.sub(r"(?m)^(={2,6})[ \t]*([^=\n]+?)[ \t]*=*[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], t)
+    if "link" in read:
+        t = re.sub(r"(?m)^[*#]+[ \t]*(?=\[\[)", "- ", t)
+        t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", lambda m: "" if re.match(r"(?i)(?:категория|category|kategorie|файл|file|datei):", m[1]) else m[1], t)
+    if "external" in read:
+        t = re.sub(r"(?<!\[)\[https?://\S+[ \t]+([^\]\n]+)\]", r"\1", t)
+    if "template" in read:
+        t = re.sub(r"\{\{[^{}\n]*\}\}", "", t)
+    if "table" in read:
+        t = re.sub(r"(?m)^\{\|.*$|^\|\}.*$|^\|-.*$", "", t)
+        t = re.sub(r"(?m)^[!|][ \t]*(?=\S)(.*(?:!!|\|\|).*)$", lambda m: re.sub(r"\s*(?:!!|\|\|)\s*", " | ", m[1]), t)
+    return re.sub(r"'{2,3}", "", t) if "quotes" in read else t
+
+
+def _without_markdown(t: str, read: set[str]) -> str:
+    if "setext" in read:
+        t = re.sub(r"(?m)^([^\n]+)\n(={3,}|-{3,})[ \t]*$", lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], t)
+    if read & {"image", "link"}:
+        t = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)?", r"\1", t)
+        t = re.sub(r"\[([^\]\n]+)\]\((?:https?:|/|#|mailto:)[^)\n]*\)?", r"\1", t)
+    if "strong" in read:
+        t = re.sub(r"\*\*|(?<!\w)__(?=[^\s_])|(?<=[^\s_])__(?!\w)", "", t)
+    if "strike" in read:
+        t = t.replace("~~", "")
+    if "table" in read:
+        t = re.sub(r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[ \t|:-]*$", "", t)
+    return re.sub(r"(?<!`)`(?!`)([^`\n]+)`(?!`)", r"\1", t) if "code" in read else t
+
+
+def _without_latex(t: str) -> str:
+    t = re.sub(r"\\(sub)*section\*?\{([^{}\n]*)\}", lambda m: "\n" + "#" * (1 + m[0].count("sub")) + " " + m[2] + "\n", t)
+    t = re.sub(r"(?m)^[ \t]*\\item[ \t]*", "- ", t)
+    t = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}|\\(?:cite|ref|label|footnote)\w*\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", t)
+    t = re.sub(r"\\[A-Za-z]{2,}\*?\{([^{}\n]*)\}", r"\1", t)
+    return re.sub(r"\{\\[a-z]{2,}[ \t]+([^{}\n]*)\}", r"\1", t)
 
 
-def clean_text(text: str | None, won: frozenset[tuple[str, str]] = frozenset()) -> str | None:
+def _kind(path: tuple[str, str]) -> tuple[str, str]:
+    """A path without what it says of tag and class: there are as many as rules."""
+    return path[0], path[1].partition("/")[0]
+
+
+def clean_text(text: str | None, won: frozenset[tuple[str, str]] | None = None) -> str | None:
     """The text without markup: headings as `# `, entries as `- `, code between fences, formulas between dollars; links and emphasis
-    leave their words. Null stays null, empty stays empty; a text without markup is returned as it is. won: weak paths that win the vote
-    of the text's host; signs of lists, quotes and numbered wiki entries are read only where their path is among them, or for lists
-    where the text has a sure one."""
+    leave their words. Null stays null, empty stays empty; a text without markup is returned as it is. won: kinds of path that win the vote
+    of the text's host; only those of them that the text holds are rewritten. None: all that the text holds and that are more than weak."""
     if not text or not (found := containers(text)):
         return text
+    read = {_kind(p) for p, score in found.items() if (score > WEAK if won is None else _kind(p) in won)}
+    if won is None:
+        won = frozenset(read)
+    if ("wiki", "entry") in won:
+        read.add(("wiki", "entry"))
+    if not read:
+        return text
+    of = {language for language, _ in read}
     kept: list[str] = []
 
     def keep(block: str) -> str:
@@ -193,43 +262,26 @@ def clean_text(text: str | None, won: frozenset[tuple[str, str]] = frozenset())
         return keep(f"${body}$")
 
     t = text.replace("\r\n", "\n")
-    t = _CODE.sub(code, t)
-    t = _FORMULA.sub(formula, t)
-    t = re.sub(r"(?s)<!--.*?(?:-->|$)|(?i:<(script|style)\b.*?</\1>)", "", t)
-    if ("markdown", "quote") in won:
+    if of & {"html", "latex"} or ("markdown", "fence") in read:
+        t = _CODE.sub(code, t)
+    if "latex" in of:
+        t = _FORMULA.sub(formula, t)
+    if "html" in of or ("wiki", "reference") in read:
+        t = _without_html(t)
+    if ("markdown", "quote") in read:
         t = re.sub(r"(?m)^(?:>[ \t]+)+(?=\S)|^>[ \t]*$", "", t)
-    if ("wiki", "entry") in won and not _sure_of(found, "markdown"):
+    if ("wiki", "entry") in read and not _sure_of(found, "markdown"):
         t = re.sub(r"(?m)^#{1,6}[ \t]+(?=\S)" if _sure_of(found, "wiki") else r"(?m)^#[ \t]+(?=\S)", "- ", t)
-    if ("markdown", "list") in won or found.get(("markdown", "list"), 0) > WEAK:
+    if ("markdown", "list") in read:
         t = re.sub(r"(?m)^([ \t]*)(?:\*{1,6}|\+) +(?![*+\- \t]+$)(?=\S)", r"\1- ", t)
-    t = re.sub(r"(?i)&amp;(?=(?:[a-z]{2,8}|#\d+);)", "&", t)
-    t = re.sub(r"(?i)&lt;(/?(?:" + "|".join(_TAGS) + r")\b[^&<>]*)&gt;", r"<\1>", t)
-    t = re.sub(r"(?i)<br\s*/?>", "\n", t)
-    t = re.sub(r"(?is)<h([1-6])\b[^<>]*>(.*?)</h\1>", lambda m: "\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n", t)
-    t = re.sub(r"(?i)<li\b[^<>]*>", "\n- ", t)
-    t = re.sub(r"(?i)</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", t)
-    t = _BLOCKS.sub("\n", t)
-    t = re.sub(rf"(?i){_TAG}|</?(?:{'|'.join(_TAGS)})\b[^<>\n]*(?=<|$|\n)", "", t, flags=re.MULTILINE)
-    t = re.sub(r"(?m)^(={2,6})[ \t]*([^=\n]+?)[ \t]*=*[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], t)
-    t = re.sub(r"(?m)^([^\n]+)\n(={3,}|-{3,})[ \t]*$", lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], t)
-    t = re.sub(r"\\(sub)*section\*?\{([^{}\n]*)\}", lambda m: "\n" + "#" * (1 + m[0].count("sub")) + " " + m[2] + "\n", t)
-    t = re.sub(r"(?m)^[*#]+[ \t]*(?=\[\[)", "- ", t)
-    t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", lambda m: "" if re.match(r"(?i)(?:категория|category|kategorie|файл|file|datei):", m[1]) else m[1], t)
-    t = re.sub(r"(?<!\[)\[https?://\S+[ \t]+([^\]\n]+)\]", r"\1", t)
-    t = re.sub(r"\{\{[^{}\n]*\}\}", "", t)
-    t = re.sub(r"(?m)^\{\|.*$|^\|\}.*$|^\|-.*$", "", t)
-    t = re.sub(r"(?m)^[!|][ \t]*(?=\S)(.*(?:!!|\|\|).*)$", lambda m: re.sub(r"\s*(?:!!|\|\|)\s*", " | ", m[1]), t)
-    t = re.sub(r"'{2,3}", "", t)
-    t = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)?", r"\1", t)
-    t = re.sub(r"\[([^\]\n]+)\]\((?:https?:|/|#|mailto:)[^)\n]*\)?", r"\1", t)
-    t = re.sub(r"\*\*|(?<!\w)__(?=[^\s_])|(?<=[^\s_])__(?!\w)|~~", "", t)
-    t = re.sub(r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[ \t|:-]*$", "", t)
-    t = re.sub(r"(?<!`)`(?!`)([^`\n]+)`(?!`)", r"\1", t)
-    t = re.sub(r"(?m)^[ \t]*\\item[ \t]*", "- ", t)
-    t = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}|\\(?:cite|ref|label|footnote)\w*\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", t)
-    t = re.sub(r"\\[A-Za-z]{2,}\*?\{([^{}\n]*)\}", r"\1", t)
-    t = re.sub(r"\{\\[a-z]{2,}[ \t]+([^{}\n]*)\}", r"\1", t)
-    t = html.unescape(t).replace("\xa0", " ")
+    if "wiki" in of:
+        t = _without_wiki(t, {what for language, what in read if language == "wiki"})
+    if "markdown" in of:
+        t = _without_markdown(t, {what for language, what in read if language == "markdown"})
+    if "latex" in of:
+        t = _without_latex(t)
+    if "html" in of:
+        t = html.unescape(t).replace("\xa0", " ")
     t = re.sub(r"[ \t]+$", "", t, flags=re.MULTILINE)
     t = re.sub(r"\n{3,}", "\n\n", t).strip("\n")
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
@@ -239,10 +291,11 @@ def clean_texts(df: DataFrame, key: str = "article_id", text: str = "text", host
     """(key, text): every record with its clean text, read by the weak paths that win its host's vote; null stays null.
 
     The vote is that of `markup_languages`, with the path of numbered wiki entries added. Records without host vote together. The winners
-    are a row for each host.
+    are a row for each host; no task gets all texts of one.
     """
     won = _winners(runtime.written(_votes(df, key, host, text, _rewritten), "text-votes"), df, host, text, votes, share)
-    of_host = won.groupBy("w_host").agg(F.collect_set(F.concat_ws("/", "w_markup", "w_path")).alias("won"))
+    kinds = F.collect_set(F.concat_ws("/", "w_markup", F.substring_index("w_path", "/", 1)))
+    of_host = runtime.written(won.groupBy("w_host").agg(kinds.alias("won")), "winners-of-host")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -251,7 +304,13 @@ def clean_texts(df: DataFrame, key: str = "article_id", text: str = "text", host
 
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(host).alias("host"))
-    return rows.join(of_host, F.col("host").eqNullSafe(F.col("w_host")), "left").select("key", "text", "won").mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    at = F.col("host").eqNullSafe(F.col("w_host"))
+    if of_host.count() <= HOSTS_SENT:
+        joined = rows.join(F.broadcast(of_host), at, "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(of_host.withColumn("w_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), at & (F.col("salt") == F.col("w_salt")), "left")
+    return joined.select("key", "text", "won").mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 _ASIDE = re.compile(r"(?:a|nav|header|footer|aside|button|form)(?:[#.]|$)")
