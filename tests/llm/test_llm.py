@@ -371,6 +371,16 @@ def test_recurrence_is_exact_among_many_lines(spark: SparkSession) -> None:
     assert got == want + Counter({(0, 11_002): 1, (0, 11_003): 1})
 
 
+def test_share_of_a_host_decides_and_one_title_counts_once(spark: SparkSession) -> None:
+    none = spark.createDataFrame([], "url string, html binary, source string")
+    rnd = random.Random(5)
+    rows = [(i, 0, "s", None, f"Заголовок {i}", " ".join(prose(rnd, 9)) + "\nНаш канал в сети") for i in range(12)]
+    rows += [(100 + i, 0, "s", None, "Статья", "строка одной статьи\nвторая строка") for i in range(12)]  # delivered again and again
+    rows += [(200 + i, 0, "t", None, f"Т {i}", " ".join(prose(rnd, 9)) + ("\nредкая строка" if i < 5 else "")) for i in range(120)]  # 5 of 120
+    got = {tuple(r) for r in templates.template_lines(articles(spark, rows), none).collect()}
+    assert got == {(i, 2) for i in range(12)}
+
+
 def test_long_lines_are_told_by_the_whole(spark: SparkSession) -> None:
     ends = "Условия пользования сайтом " * 6
     notice, alike = ends + "и файлы для всех " * 5 + ends, [ends + "и слово " * i + ends for i in range(8, 14)]
