@@ -16,7 +16,7 @@ def build(spark: SparkSession, documents: str, out: str, limit: int | None) -> N
     """docs, postings (ordered by term, so that a query reads few row groups), frequencies and statistics of a table of (doc_id, text, ...)."""
     df = spark.read.parquet(documents)
     df = df.where(F.length("text") > 0) if limit is None else df.orderBy("doc_id").limit(limit).where(F.length("text") > 0)
-    index.postings(df).repartitionByRange(F.col("term"), F.col("doc_id")).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{out}/postings")
+    index.write_postings(index.postings(df), f"{out}/postings")
     df.select(*(c for c in ("doc_id", "url") if c in df.columns)).write.mode("overwrite").parquet(f"{out}/docs")
     ranked = zipf.zipf_rank(index.term_frequency(df))
     files.write_freq(ranked, f"{out}/freq")
@@ -35,7 +35,7 @@ def serve(spark: SparkSession, folder: str, port: int) -> None:
             query = boolean.query_of_request("GET", self.path)
             try:
                 hits = boolean.search_page(rows, docs, query or "").collect()
-                page = boolean.render_page(query or "", hits[0]["total"] if hits else 0, [(r["doc_id"], str(r[1])) for r in hits])
+                page = boolean.render_page(query or "", hits[0]["total"], [(r["doc_id"], str(r[1])) for r in hits if r["doc_id"] is not None])
             except boolean.QuerySyntaxError as e:
                 page = boolean.render_page(f"{query} ({e})", 0, [])
             body = page.encode()
@@ -69,9 +69,9 @@ def main(args: list[str] | None = None) -> None:
     if given.command == "index":
         build(spark, given.documents, given.out, given.limit)
     elif given.command == "search":
-        hits = boolean.search(*tables(spark, given.index), given.query).collect()
-        print(f"Results: {len(hits)}")
-        for r in hits:
+        hits = boolean.search(*tables(spark, given.index), given.query)
+        print(f"Results: {hits.count()}")
+        for r in hits.toLocalIterator():
             print("\t".join(str(x) for x in r))
     else:
         serve(spark, given.index, given.port)

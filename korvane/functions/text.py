@@ -17,6 +17,10 @@ KEPT = "[ЀЂ-ЏѠ-ѿ]"
 TOKEN = rf"[{TOKEN_CLASS}]+(?:[-'][{TOKEN_CLASS}]+)*"
 
 
+#: What the bytes from 0x80 mean in windows-1251, and in the charset that gives each byte its own number.
+CYRILLIC_HIGH, _LATIN_HIGH = bytes(range(128, 256)).decode("windows-1251", "replace"), bytes(range(128, 256)).decode("latin-1")
+
+
 def raw_tokens(text: Column) -> Column:
     """Runs of the token alphabet, a - or ' inside a run kept. Null gives null, a text without tokens an empty array."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -58,5 +62,5 @@ def html_input_units(page: Column) -> Column:
 
 
 def page_text(page: Column) -> Column:
-    """A binary page as text; null where it is no valid UTF-8."""
-    return F.try_validate_utf8(page.cast("string"))
+    """A binary page as text: UTF-8, or windows-1251 where it is none. Null stays null."""
+    return F.coalesce(F.try_validate_utf8(page.cast("string")), F.translate(F.decode(page, "ISO-8859-1"), _LATIN_HIGH, CYRILLIC_HIGH))

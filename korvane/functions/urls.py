@@ -26,18 +26,21 @@ def path(url: Column) -> Column:
     return _part(url, 3)
 
 
-def normalize_url(url: Column, depth: int = 12) -> Column:
-    """Scheme and host in lower case, http where no scheme stands, / for no path, no default port, no dot segments (up to depth
-    of them); query and fragment stay. What has no host stays as it is; null stays null."""
+def _without_dots(way: Column) -> Column:
+    """A path with its dot segments worked off, however many there are."""
+    parts = F.split(F.substring(way, F.lit(2), F.length(way)), "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((F.size(kept) > 0) & way.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+
+
+def normalize_url(url: Column) -> Column:
+    """Scheme and host in lower case, http where no scheme stands, / for no path, no default port, no dot segments; query and fragment
+    stay. What has no host stays as it is; null stays null."""
     scheme = F.lower(F.when(_part(url, 1) == "", F.lit("http")).otherwise(_part(url, 1)))
     authority = F.lower(_part(url, 2))
     authority = F.when((scheme == "http"), F.regexp_replace(authority, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(authority, r":(443)?$", "")).otherwise(authority)
     plain = path(url)
-    way = F.regexp_replace(F.regexp_replace(plain, r"(?:/\.)+(?=/)", ""), r"/\.$", "/")
-    for _ in range(depth):
-        way = F.regexp_replace(way, r"^(.*?)/(?!\.\.(?:/|$))[^/]*/\.\.(?=/|$)", "$1")
-    way = F.regexp_replace(way, r"^(?:/\.\.(?=/|$))+", "")
-    way = F.coalesce(F.nullif(F.when(F.contains(plain, F.lit("/.")), way).otherwise(plain), F.lit("")), F.lit("/"))
+    way = F.when(plain == "", F.lit("/")).when(F.contains(plain, F.lit("/.")), _without_dots(plain)).otherwise(plain)
     return F.when(_part(url, 2) == "", url).otherwise(F.concat(scheme, F.lit("://"), authority, way, _part(url, 4)))
 
 

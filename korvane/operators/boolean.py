@@ -109,10 +109,11 @@ def search_arrays(index: DataFrame, docs: DataFrame, query: str) -> DataFrame:
 
 
 def search_page(rows: DataFrame, docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """The first hits by doc_id with `total`, the number of all of them."""
+    """The first hits by doc_id, in that order, with `total`, the number of all of them; without any hit one row of nulls and a total of 0."""
     hits = search(rows, docs, query)
     total = hits.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    return hits.limit(limit).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    first = hits.limit(limit).withColumn("_at", F.lit(1))
+    return total.join(first, F.col("_one") == F.col("_at"), "left").select(*docs.columns, "total").orderBy("doc_id")
 
 
 def query_of_request(method: str, target: str) -> str | None:
@@ -121,8 +122,8 @@ def query_of_request(method: str, target: str) -> str | None:
 
     if method != "GET":
         return None
-    mark = target.find("?q=")
-    return unquote_plus(target[mark + 3 :], errors="replace") if mark >= 0 else ""
+    given = target.partition("?")[2]
+    return unquote_plus(given[2:], errors="replace") if given.startswith("q=") else ""
 
 
 def render_page(query: str, total: int, hits: list[tuple[int, str]]) -> str:

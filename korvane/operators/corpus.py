@@ -51,8 +51,8 @@ class _Article(HTMLParser):
         own = {k: v or "" for k, v in attrs}
         if tag == "meta":
             for attribute in ("name", "property"):
-                if own.get(attribute) and own.get("content"):
-                    self.metas.setdefault((attribute, own[attribute]), own["content"])
+                if own.get(attribute):
+                    self.metas.setdefault((attribute, own[attribute]), own.get("content", ""))
         if tag in self.VOID:
             return
         if tag in ("script", "style"):
@@ -92,8 +92,8 @@ class _Article(HTMLParser):
     def first_meta(self, names: Sequence[str]) -> str | None:
         for name in names:
             for attribute in ("name", "property"):
-                if value := self.metas.get((attribute, name), "").strip():
-                    return value
+                if value := self.metas.get((attribute, name)):  # only the first tag of a name counts, and then the next attribute
+                    return value.strip()
         return None
 
     def text(self) -> str:
@@ -106,7 +106,7 @@ def extract_article(page: str | None) -> tuple[str | None, str | None, str | Non
     a = _Article()
     a.feed(page or "")
     a.close()
-    return a.first_meta(TITLE_METAS) or (" ".join(a.heading) if a.heading else None), a.first_meta(AUTHOR_METAS), a.first_meta(DATE_METAS), a.text()
+    return a.first_meta(TITLE_METAS) or ("".join(a.heading) if a.heading is not None else None), a.first_meta(AUTHOR_METAS), a.first_meta(DATE_METAS), a.text()
 
 
 def extract_articles(pages: DataFrame, carry: Sequence[str] = ("url", "source"), page: str = "html") -> DataFrame:

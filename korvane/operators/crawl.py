@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ class CrawlConfig:
     max_links_per_page: int = 200
     batch: int | None = None
     revisit_seconds: int = 0
+    revisit_scan_seconds: int = 0
+    delay_ms: int = 0
+    timeout_s: float = 20.0
+    user_agent: str = "korvane"
     seeds: Sequence[tuple[str, str]] = field(default_factory=tuple)
 
 
@@ -109,3 +114,21 @@ def step(queue: DataFrame, pages: DataFrame, fetch: Fetcher, config: CrawlConfig
         found = links(deeper, config).join(deeper.select(F.col("url").alias("from_url"), "source", "depth"), "from_url").select("url", "source", (F.col("depth") + 1).alias("depth"))
         rest = keyed.insert_if_absent(rest, _pending(found, now), "url", [F.col("depth"), F.col("source")])
     return runtime.written(rest, "queue"), stored
+
+
+def run(queue: DataFrame, pages: DataFrame, fetch: Fetcher, config: CrawlConfig, rounds: int, clock: Callable[[], float] = time.time, pause: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
+    """`step` so many times, with seeds first if the queue is empty; due pages are looked for every revisit_scan_seconds (in no round if that is
+    0), and delay_ms pass between rounds. The tables of a round are deleted once the next one has written its own.
+    """
+    spark, scanned = queue.sparkSession, None
+    queue = seed_queue(queue, config, int(clock()))
+    start = runtime.mark()
+    for _ in range(rounds):
+        now, before = int(clock()), runtime.mark()
+        scan = config.revisit_scan_seconds > 0 and (scanned is None or now - scanned >= config.revisit_scan_seconds)
+        scanned = now if scan else scanned
+        queue, pages = step(queue, pages, fetch, config if scan else replace(config, revisit_seconds=0), now)
+        runtime.clean(spark, start, before)
+        if config.delay_ms:
+            pause(config.delay_ms / 1000)
+    return queue, pages

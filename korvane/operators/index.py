@@ -27,6 +27,11 @@ def body_choice(df: DataFrame, text: str = "text", html: str = "html") -> DataFr
     return df.withColumn("body_kind", F.when(F.length(text) > 0, "text").when(F.octet_length(html) > 0, "html"))
 
 
+def indexable(df: DataFrame, url: str = "url", text: str = "text", html: str = "html") -> DataFrame:
+    """Rows that an index takes: with a url, and with a text or, failing that, a page."""
+    return df.where((F.length(url) > 0) & ((F.length(text) > 0) | (F.octet_length(html) > 0)))
+
+
 def positions(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, term): every term of every text with its place from 0."""
     return df.select(F.col(doc).alias("doc_id"), F.posexplode(tx.raw_tokens(F.col(text))).alias("pos", "token")).select("doc_id", "pos", tx.term(F.col("token")).alias("term"))
@@ -49,6 +54,11 @@ def postings(df: DataFrame, doc: str = "doc_id", text: str | None = "text", html
     return body_tokens(df, doc, text, html).groupBy(tx.term(F.col("token")).alias("term"), "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Postings stored by term, ranges of terms apart, so that a query's terms reach few row groups of few files."""
+    rows.repartitionByRange(F.col("term"), F.col("doc_id")).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
 def inverted_index(rows: DataFrame, chunk: int | None = None) -> DataFrame:
     """(term, tf, df, postings) of postings rows, postings ascending. With chunk, a row for each term and run of `chunk` document ids
     (column `chunk`), so that no row grows with the collection."""

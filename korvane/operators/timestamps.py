@@ -40,7 +40,7 @@ ZONE_LETTERS = {
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "HST": -600, "JST": 540,
 }
 
-_CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,12}))?)?"
+_CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?"
 _AMPM = r"(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?))?"
 _ZONE = r"(?:\s*(?P<z>Z|z|(?:UTC|GMT)?\s?[+\-−]\d{1,2}(?::?\d{2})?|[A-Za-z]{2,5}))?"
 _DAY_NAME = r"(?:[^\W\d_]{2,10}\.?,?\s+)?"
@@ -50,9 +50,9 @@ _NAME = r"(?P<mn>[^\W\d_]{3,9})\.?"
 CASCADE: tuple[tuple[str, re.Pattern[str]], ...] = tuple(
     (name, re.compile(pattern))
     for name, pattern in (
-        ("epoch", r"(?P<epoch>\d{9,10}|\d{12,13})(?:\.(?P<ef>\d+))?"),
+        ("epoch", r"(?P<epoch>[-−]?\d{9,13})(?:\.(?P<ef>\d+))?"),
         ("iso", rf"(?P<y>\d{{4}})-(?P<m>\d{{1,2}})-(?P<d>\d{{1,2}})(?:(?:[Tt]|\s+){_CLOCK}{_AMPM}{_ZONE})?"),
-        ("basic", r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?:T?(?P<h>\d{2})(?P<mi>\d{2})(?:(?P<s>\d{2})(?:[.,](?P<f>\d{1,12}))?)?(?P<z>Z|[+\-]\d{2}(?::?\d{2})?)?)?"),
+        ("basic", r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?:T?(?P<h>\d{2})(?P<mi>\d{2})(?:(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?P<z>Z|[+\-]\d{2}(?::?\d{2})?)?)?"),
         ("ymd_slash", rf"(?P<y>\d{{4}})[/.](?P<m>\d{{1,2}})[/.](?P<d>\d{{1,2}})(?:,?\s+{_CLOCK}{_AMPM}{_ZONE})?"),
         ("dotted", rf"(?P<d>\d{{1,2}})\.(?P<m>\d{{1,2}})\.(?P<y>\d{{4}})(?:,?\s+(?:в\s+)?{_CLOCK}{_AMPM}(?:\s+Uhr)?{_ZONE})?"),
         ("slashed", rf"(?P<a>\d{{1,2}})/(?P<b>\d{{1,2}})/(?P<y>\d{{4}})(?:,?\s+{_CLOCK}{_AMPM}{_ZONE})?"),
@@ -101,16 +101,17 @@ def parse_instant(value: str | None, tz: str | None, date_order: str | None = "d
     if value is None:
         return None
     text = _SPACES.sub(" ", value).strip()
-    if not text or len(text) > 80:
+    if not text:
         return None
     for name, pattern in CASCADE:
         if (m := pattern.fullmatch(text)) is None:
             continue
         g = m.groupdict()
         if name == "epoch":
-            n, digits = int(g["epoch"]), len(g["epoch"])
-            fraction = (g["ef"] or "")
-            return n * 1_000_000 + int((fraction + "000000")[:6]) if digits <= 10 else n * 1000 + int((fraction + "000")[:3])
+            digits, fraction, before = g["epoch"].lstrip("-−"), g["ef"] or "", g["epoch"][0] in "-−"
+            unit = 6 if len(digits) <= 10 else 3  # from eleven digits on milliseconds are counted
+            us = int(digits) * 10**unit + int((fraction + "000000")[:unit])
+            return -us if before else us
         if "mn" in g:
             month = MONTHS.get(g["mn"].lower())
             if month is None:

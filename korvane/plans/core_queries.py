@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane import runtime
@@ -12,6 +13,7 @@ from korvane.functions import text as tx
 from korvane.functions import urls as uf
 from korvane.operators import boolean, corpus, crawl, index, keyed, timestamps, zipf
 from korvane.sources import files
+from korvane.streaming import crawl as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +61,19 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
     return index.postings(_read(spark, folder, "documents"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored index of a folder's documents, built by the first query of a session that asks for it, as a search engine loads its index once."""
+    name = (spark.sparkContext.applicationId, folder)
+    if name not in _STORED:
+        path = f"{runtime.shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+        index.write_postings(_postings(spark, folder), path)
+        _STORED[name] = path
+    return spark.read.schema("term string, doc_id bigint, tf bigint").parquet(_STORED[name])
+
+
 def inverted_index(spark: SparkSession, folder: str) -> DataFrame:
     return index.inverted_index(_postings(spark, folder)).withColumn("postings", F.concat_ws(",", F.col("postings").cast("array<string>")))
 
@@ -74,7 +89,7 @@ def docs_table(spark: SparkSession, folder: str) -> DataFrame:
 def docs_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses of the hits of a query, by id."""
     docs = _read(spark, folder, "docs").where(F.col("doc_id").isNotNull() & F.col("url").isNotNull()).distinct()
-    return boolean.search(_postings(spark, folder), docs, BOOLEAN["bool_and"])
+    return boolean.search(_stored_postings(spark, folder), docs, BOOLEAN["bool_and"])
 
 
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,8 +143,9 @@ def body_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def indexable(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _read(spark, folder, "articles").where(F.length("url") > 0).where(F.length("text") > 0)
-    return rows.select("article_id", "url")
+    """Articles that an index takes, with the pages saved under their addresses."""
+    pages = _read(spark, folder, "pages").where(F.col("url").isNotNull()).groupBy("url").agg(F.max_by("html", F.octet_length("html")).alias("html"))
+    return index.indexable(_read(spark, folder, "articles").join(pages, "url", "left")).select("article_id", "url")
 
 
 def scan_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,11 +158,11 @@ def _documents_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _boolean(query: str) -> Query:
-    return lambda spark, folder: boolean.search(_postings(spark, folder), _documents_ids(spark, folder), query)
+    return lambda spark, folder: boolean.search(_stored_postings(spark, folder), _documents_ids(spark, folder), query)
 
 
 def search_page_top50(spark: SparkSession, folder: str) -> DataFrame:
-    return boolean.search_page(_postings(spark, folder), _documents_ids(spark, folder), "архив or the")
+    return boolean.search_page(_stored_postings(spark, folder), _documents_ids(spark, folder), "архив or the")
 
 
 def universe(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,11 +183,11 @@ def query_postfix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ru_lower(spark: SparkSession, folder: str) -> DataFrame:
-    return index.body_tokens(_read(spark, folder, "articles"), "article_id", "title").select(F.col("doc_id").alias("article_id"), "token", tx.ru_lower(F.col("token")).alias("lowered"))
+    return index.body_tokens(_read(spark, folder, "articles"), "article_id").select(F.col("doc_id").alias("article_id"), "token", tx.ru_lower(F.col("token")).alias("lowered"))
 
 
 def ru_stem(spark: SparkSession, folder: str) -> DataFrame:
-    return index.body_tokens(_read(spark, folder, "articles"), "article_id", "title").select(F.col("doc_id").alias("article_id"), "token", tx.term(F.col("token")).alias("term"))
+    return index.body_tokens(_read(spark, folder, "articles"), "article_id").select(F.col("doc_id").alias("article_id"), "token", tx.term(F.col("token")).alias("term"))
 
 
 def extract_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,9 +325,16 @@ def collection_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def _escaped(value: Column) -> Column:
+    """As XML writes it."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(sign), F.lit(name))
+    return value
+
+
 def sitemap_locs(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses that come back from one sitemap for each source, written from the articles and read again."""
-    rows = _read(spark, folder, "articles").where(F.col("url").isNotNull() & ~F.contains("url", F.lit("&"))).select("source", "url").distinct()
+    rows = _read(spark, folder, "articles").where(F.col("url").isNotNull()).select("source", _escaped(F.col("url")).alias("url")).distinct()
     maps = rows.groupBy(F.col("source").alias("url"), F.pmod(F.xxhash64("url"), F.lit(64)).alias("piece")).agg(
         F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<url><loc> "), u, F.lit("\n</loc></url>"))), ""), F.lit("</urlset>")).alias("xml")
     )
@@ -319,8 +342,8 @@ def sitemap_locs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rss_links(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _read(spark, folder, "articles").where(F.col("url").isNotNull() & ~F.contains("url", F.lit("&")))
-    feeds = rows.select("article_id", F.concat(F.lit("<rss><channel><item><link>"), F.col("url"), F.lit("</link></item></channel></rss>")).alias("xml"))
+    rows = _read(spark, folder, "articles").where(F.col("url").isNotNull())
+    feeds = rows.select("article_id", F.concat(F.lit("<rss><channel><item><link>"), _escaped(F.col("url")), F.lit("</link></item></channel></rss>")).alias("xml"))
     return files.rss_links(feeds, "article_id").select("article_id", "link")
 
 
@@ -337,14 +360,68 @@ def index_tsv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return files.index_lines(lines).select("term", F.size("postings").cast("bigint").alias("df"), F.concat_ws(",", F.col("postings").cast("array<string>")).alias("postings"))
 
 
+def index_tsv_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The index written to a file of lines and read from it."""
+    path = runtime.folder(spark, "index-tsv")
+    files.write_index(index.inverted_index(_postings(spark, folder)), path)
+    return files.read_index(spark, path).select("term", F.concat_ws(",", F.col("postings").cast("array<string>")).alias("postings"))
+
+
+def docs_tsv_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = runtime.folder(spark, "docs-tsv")
+    files.write_docs(_read(spark, folder, "docs").where(F.col("doc_id").isNotNull() & F.col("url").isNotNull()).distinct(), path)
+    return files.read_docs(spark, path)
+
+
+def freq_csv_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = runtime.folder(spark, "freq-csv")
+    files.write_freq(zipf.mandelbrot_curve(_ranked(spark, folder), None), path)
+    return files.read_freq(spark, path).withColumn("zipf", F.round("zipf", 3))
+
+
+def sitemap_walk(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses found from a sitemap index through one sitemap for each source; the index and sitemaps are written from the articles."""
+    rows = _read(spark, folder, "articles").where(F.col("url").isNotNull() & F.col("source").isNotNull()).select("source", _escaped(F.col("url")).alias("u")).distinct()
+    name = F.concat(F.lit("http://maps.example/"), F.md5("source"), F.lit(".xml"))
+    listed = lambda root, item, urls: F.concat(F.lit(f'<?xml version="1.0"?><{root} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.transform(F.array_sort(urls), lambda u: F.concat(F.lit(f"<{item}><loc>"), u, F.lit(f"</loc></{item}>"))), ""), F.lit(f"</{root}>"))
+    maps = rows.groupBy("source").agg(listed("urlset", "url", F.collect_list("u")).alias("xml")).select(name.alias("url"), "xml")
+    top = rows.select(name.alias("n")).distinct().agg(listed("sitemapindex", "sitemap", F.collect_list("n")).alias("xml")).select(F.lit("http://maps.example/sitemap-index.xml").alias("url"), "xml")
+    return files.collect_sitemap_urls(top, maps, (r"/wiki/", r"/articles?/"))
+
+
+def scrape_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Article records of all article addresses whose page was saved."""
+    pages = keyed.latest(_read(spark, folder, "pages").where(F.col("url").isNotNull() & F.col("html").isNotNull()), ["url"], [F.coalesce("fetched_at", F.lit(0)), F.sha2("html", 256)])
+    return corpus.scrape(pages, _read(spark, folder, "articles").where(F.col("url").isNotNull()), "2026-01-01T00:00:00Z")
+
+
+def _queue_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
+def stream_new_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue as a stream: every normal form of an address once."""
+    stream = _queue_stream(spark, folder, "queue").where(F.col("url").isNotNull()).select("url", F.timestamp_seconds(F.lit(NOW)).alias("seen_at"))
+    return streams.drained(spark, streams.new_addresses(stream), "addresses").select("url")
+
+
+def stream_upsert_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched pages as a stream that is stored by address, micro-batch by micro-batch."""
+    table = runtime.folder(spark, "page-versions")
+    stream = _queue_stream(spark, folder, "pages").where(F.col("url").isNotNull() & F.col("hash").isNotNull()).select("url", F.col("html").cast("string").alias("html"), "source", "hash", "fetched_at")
+    streams.upsert_stream(stream, table, f"{table}-state").awaitTermination()
+    return streams.newest_version(spark, table).select("url", "hash")
+
+
 def freq_scan(spark: SparkSession, folder: str) -> DataFrame:
     return files.freq_rows(files.filled_freq(_read(spark, folder, "freq")))
 
 
 def report_stats_parse(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of the index written as lines and read again."""
-    s = index.index_stats(_read(spark, folder, "documents")).select(F.col("docs").alias("Docs"), F.col("terms").alias("Terms"), F.col("tokens").alias("Tokens"), F.round("avg_token_len", 5).alias("AvgTokenLen"))
-    return files.parse_stats(files.stats_lines(s), ("Docs", "Terms", "Tokens", "AvgTokenLen"))
+    s = index.index_stats(_read(spark, folder, "documents")).select(F.col("docs").alias("Docs"), F.col("terms").alias("Terms"), F.col("tokens").alias("Tokens"), F.round("avg_token_len", 5).alias("AvgTokenLen"), F.round("input_kb", 5).alias("InputKB"), F.lit(2.5).alias("Elapsed"), F.round(F.col("input_kb") / 2.5, 4).alias("SpeedKBps"))
+    return files.parse_stats(files.stats_lines(s))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -357,7 +434,7 @@ _QUERIES = (
     mandelbrot_fit_free, mandelbrot_curve, html_terms, html_inverted_index, html_input_units, body_choice, indexable, scan_limit, search_page_top50, universe, query_lexer, query_postfix, ru_lower, ru_stem,
     extract_links, normalize_url, url_parts, url_allowed, is_article_url, url_patterns, url_decode, safe_filename, content_hash, change_detection, store_pages, queue_insert_if_absent, queue_reset,
     queue_claim, queue_dequeue, depth_gate, unique_urls, upsert_latest, upsert_merge, revisit_due, crawl_bfs, article_extract, meta_lookup, corpus_stats, collection_counts, sitemap_locs, rss_links,
-    jsonl_roundtrip, index_tsv_roundtrip, freq_scan, report_stats_parse,
+    jsonl_roundtrip, index_tsv_roundtrip, index_tsv_file, docs_tsv_file, freq_csv_file, sitemap_walk, scrape_records, stream_new_addresses, stream_upsert_pages, freq_scan, report_stats_parse,
 )
 
 

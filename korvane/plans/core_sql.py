@@ -20,7 +20,11 @@ def _terms(table: str, key: str, body: str) -> str:
 _DOC_TERMS = _terms("documents", "doc_id", "text")
 _TF = f"(SELECT term, count(*) AS tf FROM {_DOC_TERMS} GROUP BY term)"
 _RANKED = f"(SELECT row_number() OVER (ORDER BY tf DESC, term) AS rank, term, tf AS freq, max(tf) OVER () / row_number() OVER (ORDER BY tf DESC, term) AS zipf FROM {_TF})"
-_PAGES = """(SELECT url, arg_min(html, md5(html)) AS html FROM (SELECT url, TRY(decode(html)) AS html FROM pages WHERE url IS NOT NULL) WHERE length(html) > 0 GROUP BY url)"""
+# Bytes of a page that is no UTF-8, by the table of windows-1251.
+_CYRILLIC = "[" + ", ".join(f"'{c}'" if c != "'" else "chr(39)" for c in tx.CYRILLIC_HIGH) + "]"
+_DECODED = f"""coalesce(TRY(decode(html)), array_to_string(list_transform(range(0, octet_length(html)), lambda i: CASE WHEN ('0x' || substr(hex(html), 2 * i + 1, 2))::INTEGER < 128
+THEN chr(('0x' || substr(hex(html), 2 * i + 1, 2))::INTEGER) ELSE ({_CYRILLIC})[('0x' || substr(hex(html), 2 * i + 1, 2))::INTEGER - 127] END), ''))"""
+_PAGES = f"""(SELECT url, arg_min(html, md5(html)) AS html FROM (SELECT url, {_DECODED} AS html FROM pages WHERE url IS NOT NULL) WHERE length(html) > 0 GROUP BY url)"""
 _STRIPPED = """regexp_replace(regexp_replace(html, '[-'']<', ' <', 'g'), '<[^>]*>?', '', 'g')"""
 _PAGE_TERMS = f"(SELECT url, {_term('token')} AS term FROM (SELECT url, unnest({_TOKENS.format(_STRIPPED)}) AS token FROM {_PAGES}))"
 _UNITS = "strlen({0}) - length(regexp_replace({0}, '[^Ѐ-ѿ]', '', 'g'))"
@@ -65,7 +69,7 @@ SELECT *, syy - lc * sy - slope * sly AS error FROM (SELECT *, (sy - slope * sl)
     "html_inverted_index": f"SELECT term, count(*) AS tf, count(DISTINCT url) AS df, md5(array_to_string(list_sort(list(DISTINCT url)), ' ')) AS postings_md5 FROM {_PAGE_TERMS} GROUP BY term",
     "html_input_units": f"SELECT url, strlen(html) - length(regexp_replace({_STRIPPED}, '[^Ѐ-ѿ]', '', 'g')) AS input_units FROM {_PAGES}",
     "body_choice": f"SELECT article_id, CASE WHEN length(text) > 0 THEN 'text' WHEN strlen(html) > 0 THEN 'html' END AS body_kind FROM articles LEFT JOIN {_PAGES} p USING (url) WHERE url IS NOT NULL",
-    "indexable": "SELECT article_id, url FROM articles WHERE length(url) > 0 AND length(text) > 0",
+    "indexable": "SELECT article_id, url FROM articles a WHERE length(url) > 0 AND (length(text) > 0 OR EXISTS (SELECT 1 FROM pages p WHERE p.url = a.url AND octet_length(p.html) > 0))",
     "scan_limit": "SELECT article_id FROM (SELECT * FROM articles ORDER BY article_id LIMIT 500) WHERE length(text) > 0",
     "universe": "SELECT doc_id FROM documents",
     "bool_and": _where(f"{_has('вирус')} AND {_has('архив')}"),
@@ -86,8 +90,8 @@ SELECT *, syy - lc * sy - slope * sly AS error FROM (SELECT *, (sy - slope * sl)
     "query_postfix": """SELECT * FROM (VALUES ('(linux or windows) and not python', 'linux windows OR python NOT AND'), ('e-mail- c++', 'e-mail- c AND'), ('Дом и не домами', 'д дом NOT AND'), ('linux)', 'linux'), ('не не а', ' NOT NOT'),
 ('вирус и архив', 'вирус архив AND'), ('архив или system', 'архив system OR'), ('не архив', 'архив NOT'), ('(архив или мост) и не (граф или the)', 'архив мост OR граф the OR NOT AND'), ('архив or мост and граф', 'архив мост граф AND OR'),
 ('новый архив -мост', 'нов архив AND мост AND'), ('архив и несуществующееслово', 'архив несуществующееслов AND'), ('я или а', '  OR')) t(query, postfix)""",
-    "ru_lower": f"SELECT article_id, token, {_LOWER.format('token')} AS lowered FROM (SELECT article_id, unnest({_TOKENS.format('title')}) AS token FROM articles)",
-    "ru_stem": f"SELECT article_id, token, {_term('token')} AS term FROM (SELECT article_id, unnest({_TOKENS.format('title')}) AS token FROM articles)",
+    "ru_lower": f"SELECT article_id, token, {_LOWER.format('token')} AS lowered FROM (SELECT article_id, unnest({_TOKENS.format('text')}) AS token FROM articles)",
+    "ru_stem": f"SELECT article_id, token, {_term('token')} AS term FROM (SELECT article_id, unnest({_TOKENS.format('text')}) AS token FROM articles)",
     "extract_links": f"""SELECT url, CAST(pos - 1 AS INTEGER) AS pos, links[pos] AS link FROM (SELECT url, links, unnest(range(1, len(links) + 1)) AS pos FROM (
 SELECT url, list_filter(regexp_extract_all(html, '(?is)href\\s*=\\s*"([^"]*)"', 1), lambda v: regexp_matches(v, '^https?://') AND strlen(v) < 2048)[1:200] AS links FROM {_PAGES}))""",
     "normalize_url": r"""SELECT DISTINCT url, CASE WHEN authority = '' THEN url ELSE concat(scheme, '://', CASE scheme WHEN 'http' THEN regexp_replace(authority, ':(80)?$', '') WHEN 'https' THEN regexp_replace(authority, ':(443)?$', '') ELSE authority END,
@@ -126,12 +130,18 @@ SELECT coalesce(n.doc_id, d.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL TH
     "corpus_stats": """SELECT count(*) AS documents, (SELECT CAST(sum(octet_length(html)) AS BIGINT) FROM pages) AS raw_total_bytes, CAST(sum(strlen(text)) AS BIGINT) AS text_total_bytes,
 round((SELECT sum(octet_length(html)) FROM pages) / count(*), 4) AS avg_raw_bytes, round(sum(strlen(text)) / count(*), 4) AS avg_text_bytes FROM articles""",
     "collection_counts": "SELECT 'articles' AS collection, count(*) AS rows FROM articles UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'queue', count(*) FROM queue UNION ALL SELECT 'docs', count(*) FROM docs",
-    "sitemap_locs": "SELECT DISTINCT source, 'urlset' AS root, url AS loc FROM articles WHERE url IS NOT NULL AND NOT contains(url, '&')",
-    "rss_links": "SELECT article_id, url AS link FROM articles WHERE url IS NOT NULL AND NOT contains(url, '&')",
+    "sitemap_locs": "SELECT DISTINCT source, 'urlset' AS root, url AS loc FROM articles WHERE url IS NOT NULL",
+    "rss_links": "SELECT article_id, url AS link FROM articles WHERE url IS NOT NULL",
     "jsonl_roundtrip": "SELECT source, url, title, author, published_at, text, raw_path, fetched_at FROM articles",
     "index_tsv_roundtrip": f"SELECT term, count(DISTINCT doc_id) AS df, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS postings FROM {_DOC_TERMS} GROUP BY term",
+    "index_tsv_file": f"SELECT term, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS postings FROM {_DOC_TERMS} GROUP BY term",
+    "docs_tsv_file": "SELECT DISTINCT doc_id, url FROM docs WHERE doc_id IS NOT NULL AND url IS NOT NULL",
+    "freq_csv_file": f"SELECT rank, freq, round(printf('%.6f', zipf)::DOUBLE, 3) AS zipf, 0.0::DOUBLE AS mandelbrot FROM {_RANKED}",
+    "sitemap_walk": "SELECT url FROM (SELECT DISTINCT source, trim(url) AS url FROM articles WHERE url IS NOT NULL AND source IS NOT NULL) WHERE url <> '' AND regexp_matches(url, '/wiki/|/articles?/')",
+    "stream_upsert_pages": "SELECT url, max(hash) AS hash FROM pages WHERE url IS NOT NULL AND hash IS NOT NULL GROUP BY url",
     "freq_scan": "SELECT rank, coalesce(freq, 0) AS freq, printf('%.6f', coalesce(zipf, 0)) AS zipf, printf('%.6f', coalesce(mandelbrot, 0)) AS mandelbrot FROM freq",
-    "report_stats_parse": f"""SELECT (SELECT count(*) FROM documents WHERE length(text) > 0)::DOUBLE AS "Docs", count(*)::DOUBLE AS "Terms", sum(tf)::DOUBLE AS "Tokens", round(sum(tf * strlen(term)) / sum(tf), 5) AS "AvgTokenLen" FROM {_TF}""",
+    "report_stats_parse": f"""SELECT docs::DOUBLE AS "Docs", terms::DOUBLE AS "Terms", tokens::DOUBLE AS "Tokens", round(bytes / tokens, 5) AS "AvgTokenLen", round(kb, 5) AS "InputKB", 2.5::DOUBLE AS "Elapsed", round(kb / 2.5, 4) AS "SpeedKBps" FROM (
+SELECT (SELECT count(*) FROM documents WHERE length(text) > 0) AS docs, count(*) AS terms, sum(tf) AS tokens, sum(tf * strlen(term)) AS bytes, (SELECT sum({_UNITS.format('text')}) FROM documents WHERE length(text) > 0) / 1024.0::DOUBLE AS kb FROM {_TF})""",
     "crawl_bfs": f"""WITH RECURSIVE page AS (SELECT url, html FROM {_PAGES}), link AS (SELECT DISTINCT url AS src, unnest(list_filter(regexp_extract_all(html, '(?is)href\\s*=\\s*"([^"]*)"', 1), lambda v: regexp_matches(v, '^https?://') AND strlen(v) < 2048)[1:200]) AS raw FROM page),
 edge AS (SELECT src, {{norm}} AS dst FROM link), seed AS (SELECT DISTINCT {{norm_url}} AS url FROM page),
 reach(url, depth) AS (SELECT url, 0 FROM seed UNION SELECT dst, depth + 1 FROM reach JOIN edge ON src = url WHERE depth < 2)
@@ -144,6 +154,7 @@ def _normal(url: str) -> str:
     return f"concat(lower({part(1)}), '://', regexp_replace(lower({part(2)}), CASE lower({part(1)}) WHEN 'http' THEN ':(80)?$' ELSE ':(443)?$' END, ''), CASE {part(3)} WHEN '' THEN '/' ELSE {part(3)} END, {part(4)})"
 
 
+SQL["stream_new_addresses"] = SQL["normalize_url"].replace("SELECT DISTINCT url, CASE WHEN authority", "SELECT DISTINCT CASE WHEN authority", 1).replace(" AS normal ", " AS url ").replace("FROM queue", "FROM queue WHERE url IS NOT NULL")
 SQL["crawl_bfs"] = SQL["crawl_bfs"].replace("{norm}", _normal("raw")).replace("{norm_url}", _normal("url"))
 
 

@@ -33,13 +33,14 @@ def mark() -> int:
     return len(_WRITTEN)
 
 
-def clean(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables that this session has written so far, or since a mark, and say how many. Call it once their results are stored:
-    frames that read them cannot be run again afterwards."""
-    n = 0
-    while len(_WRITTEN) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def clean(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the tables that this session has written so far, or from one mark to another, and say how many. Call it once their results
+    are stored: frames that read them cannot be run again afterwards."""
+    n, until = 0, len(_WRITTEN) if until is None else until
+    for name in _WRITTEN[since:until]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    del _WRITTEN[since:until]
     return n
 
 

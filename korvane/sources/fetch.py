@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import time
 import urllib.error
@@ -72,6 +73,24 @@ def http_fetcher(opener: Opener = open_url, attempts: int = 3, pause_s: float =
     return fetch
 
 
+def fetch_sitemap(url: str, opener: Opener = open_url, attempts: int = 3, pause_s: float = 0.5, timeout_s: float = 20.0) -> str:
+    """A sitemap as text: unpacked where its name ends in .gz; under its other usual name where the first answers with an error status."""
+
+    def get(name: str) -> str:
+        status, data, _ = with_retries(opener, name, timeout_s, attempts, pause_s)
+        if status >= 400:
+            raise urllib.error.HTTPError(name, status, "no sitemap", None, None)
+        return (gzip.decompress(data) if name.endswith(".gz") else data).decode("utf-8", "ignore")
+
+    try:
+        return get(url)
+    except urllib.error.HTTPError:
+        for known, other in (("sitemap-index.xml", "sitemap.xml"), ("sitemap.xml", "sitemap-index.xml")):
+            if url.endswith(known):
+                return get(url.removesuffix(known) + other)
+        raise
+
+
 def paginated(spark: SparkSession, ask: Callable[[str | None], str], most: int = 0) -> DataFrame:
     """(json): answers of a list interface, asked again with the token of each answer until one has none; most > 0 bounds how many."""
     answers: list[tuple[str]] = []

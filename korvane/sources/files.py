@@ -15,6 +15,11 @@ from korvane.operators.corpus import ARTICLE_SCHEMA, extract_articles
 from korvane.operators.crawl import CrawlConfig
 
 # Keys of a statistics file.
+#: And of a crawl's configuration, with the names that they have here.
+CONFIG_KEYS = {
+    "delay_ms": "delay_ms", "revisit_seconds": "revisit_seconds", "revisit_scan_seconds": "revisit_scan_seconds", "user_agent": "user_agent", "request_timeout_seconds": "timeout_s",
+    "follow_links": "follow_links", "max_depth": "max_depth", "max_links_per_page": "max_links_per_page", "articles_only": "articles_only", "allow_domains": "allowed_domains", "deny_exts": "denied_extensions",
+}
 STATS_KEYS = ("Docs", "Terms", "Tokens", "AvgTokenLen", "InputKB", "Elapsed", "SpeedKBps")
 
 
@@ -80,7 +85,8 @@ def freq_rows(df: DataFrame) -> DataFrame:
 
 
 def write_freq(df: DataFrame, path: str) -> None:
-    freq_rows(df).orderBy("rank").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """In order of rank over the parts, each part a range."""
+    freq_rows(df).orderBy("rank").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def read_freq(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +99,13 @@ def filled_freq(rows: DataFrame) -> DataFrame:
     return rows.select("rank", F.coalesce("freq", F.lit(0)).alias("freq"), F.coalesce("zipf", F.lit(0.0)).alias("zipf"), F.coalesce("mandelbrot", F.lit(0.0)).alias("mandelbrot"))
 
 
+def performance(stats: DataFrame) -> DataFrame:
+    """(InputKB, Elapsed, SpeedKBps): time and speed against the size of the collection, a row for each run, smallest first; speed is
+    worked out where a run does not state it."""
+    speed = F.coalesce(F.col("SpeedKBps"), F.try_divide(F.col("InputKB"), F.col("Elapsed"))) if "SpeedKBps" in stats.columns else F.try_divide(F.col("InputKB"), F.col("Elapsed"))
+    return stats.select("InputKB", "Elapsed", speed.alias("SpeedKBps")).orderBy("InputKB", "Elapsed")
+
+
 def stats_lines(stats: DataFrame) -> DataFrame:
     """(value): `Key: number` lines of a one-row frame with columns named like the keys."""
     return stats.select(F.explode(F.array(*(F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in STATS_KEYS if k in stats.columns))).alias("value"))
@@ -113,10 +126,13 @@ def sitemap_locations(documents: DataFrame, key: str = "url", xml: str = "xml")
 
 def collect_sitemap_urls(index: DataFrame, sitemaps: DataFrame, patterns: Sequence[str], max_sitemaps: int = 0, max_items: int = 0) -> DataFrame:
     """(url): addresses that match a pattern, in order of sitemap and place. index and sitemaps: (url, xml); 0 means no limit."""
-    children = sitemap_locations(index).where(F.col("root") == "sitemapindex").select(F.col("pos").alias("map_pos"), F.col("loc").alias("map_url"))
+    own = sitemap_locations(index)
+    children = own.where(F.col("root") == "sitemapindex").select(F.col("pos").alias("map_pos"), F.col("loc").alias("map_url"))
     if max_sitemaps > 0:
         children = children.where(F.col("map_pos") < max_sitemaps)
-    found = sitemap_locations(sitemaps).withColumnRenamed("url", "map_url").join(children, "map_url").where(uf.matches_any(F.col("loc"), patterns)).orderBy("map_pos", "pos")
+    alone = own.where(F.col("root") != "sitemapindex").select(F.lit(0).alias("map_pos"), "pos", "loc")  # what is no index is its own sitemap
+    listed = sitemap_locations(sitemaps).withColumnRenamed("url", "map_url").join(children, "map_url").select("map_pos", "pos", "loc")
+    found = listed.unionByName(alone).where(uf.matches_any(F.col("loc"), patterns)).orderBy("map_pos", "pos")
     return (found.limit(max_items) if max_items > 0 else found).select(F.col("loc").alias("url"))
 
 
@@ -162,14 +178,23 @@ def read_env(lines: Sequence[str]) -> dict[str, str]:
 
 
 def read_config(text: str) -> CrawlConfig:
-    """A crawl's configuration from YAML with the sections logic and sources."""
+    """A crawl's configuration from YAML: the keys of the section logic, and sources with a name and urls each. An unknown key is an error,
+    as an allow-list that is not read would allow everything; the section db is not used."""
     import yaml
 
     data = yaml.safe_load(text) or {}
     logic, sources = data.get("logic") or {}, data.get("sources") or []
-    seeds = [(str(u), str(s.get("name", ""))) for s in sources for u in ([s["seed"]] if "seed" in s else s.get("seeds", []))]
-    known = {k: logic[k] for k in ("allowed_domains", "articles_only", "follow_links", "max_depth", "max_links_per_page", "revisit_seconds") if k in logic}
-    return CrawlConfig(denied_extensions=logic.get("denied_extensions") or logic.get("deny_ext") or (), seeds=seeds, **known)
+    unknown = [*(set(data) - {"db", "logic", "sources"}), *(set(logic) - set(CONFIG_KEYS)), *(k for s in sources for k in set(s) - {"name", "urls"})]
+    if unknown:
+        raise ValueError(f"unknown keys: {', '.join(sorted(map(str, unknown)))}")
+    known: dict = {CONFIG_KEYS[k]: v for k, v in logic.items() if v is not None}
+    for name in ("follow_links", "articles_only"):
+        if name in known:
+            known[name] = str(known[name]).lower() in ("true", "1")
+    for name in ("allowed_domains", "denied_extensions"):
+        if name in known:
+            known[name] = tuple(map(str, known[name]))
+    return CrawlConfig(seeds=[(str(u), str(s.get("name", ""))) for s in sources for u in s.get("urls") or ()], **known)
 
 
 def patch_block(text: str, name: str, block: str) -> str:

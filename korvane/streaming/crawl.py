@@ -50,14 +50,28 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, **trigger: Any
         before = spark.read.parquet(f"{table}/version={number - 1}") if number else empty
         now = batch.agg(F.max("fetched_at")).collect()[0][0] or 0
         keyed.store_pages(before, batch, now).write.mode("overwrite").parquet(f"{table}/version={number}")
+        if number > 1:  # the version before the last is what a batch that runs again needs; older ones go
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def newest_version(spark: SparkSession, table: str) -> DataFrame:
+    """What `upsert_stream` stored last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(table)
+    names = [x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return spark.read.parquet(f"{table}/version={max(int(n.partition('=')[2]) for n in names if n.startswith('version='))}")
+
+
 def drain(spark: SparkSession, folder: str, schema: str, build: Any, name: str) -> DataFrame:
     """Run a stream over the files of a folder to its end and return what it put out."""
-    out, state = f"{runtime.shared_dir(spark)}/{name}-out", f"{runtime.shared_dir(spark)}/{name}-state"
-    stream = build(spark.readStream.schema(schema).parquet(folder))
+    return drained(spark, build(spark.readStream.schema(schema).parquet(folder)), name)
+
+
+def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream puts out until its end."""
+    out, state = runtime.folder(spark, f"{name}-out"), runtime.folder(spark, f"{name}-state")
     query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from korvane import runtime
 from korvane.functions import urls as uf
-from korvane.operators import corpus, crawl, index, keyed, timestamps, zipf
+from korvane.operators import boolean, corpus, crawl, index, keyed, timestamps, zipf
 from korvane.sources import fetch, files
 from korvane.streaming import crawl as streams
 
@@ -190,7 +190,7 @@ def test_sitemaps(spark: SparkSession) -> None:
 
 
 def test_settings() -> None:
-    config = files.read_config("logic:\n  max_depth: 3\n  allowed_domains: [a.b]\nsources:\n  - {name: s, seed: 'http://a.b/'}\n")
+    config = files.read_config("logic:\n  max_depth: 3\n  allow_domains: [a.b]\nsources:\n  - {name: s, urls: ['http://a.b/']}\n")
     assert config.max_depth == 3 and config.seeds == [("http://a.b/", "s")]
     assert files.read_env(["A=1", "# x", "", "bad", "B = c=d"]) == {"A": "1", "B": "c=d"}
     once = files.patch_block("text", "stats", "one")
@@ -271,3 +271,118 @@ def test_paginated_lists(spark: SparkSession) -> None:
     rows = files.wiki_titles(fetch.paginated(spark, answers.__getitem__)).collect()
     assert [r["title"] for r in rows] == ["А б", "C"] and rows[0]["url"].endswith("/wiki/%D0%90_%D0%B1") and rows[0]["next"] == "x"
     assert fetch.paginated(spark, answers.__getitem__, 1).count() == 1
+
+
+CONFIG = """
+db:
+  uri: "mongodb://x"
+logic:
+  delay_ms: 1000
+  revisit_seconds: 86400
+  revisit_scan_seconds: 300
+  user_agent: "crawler/1.0"
+  request_timeout_seconds: 20
+  follow_links: true
+  max_depth: 2
+  max_links_per_page: 50
+  articles_only: 1
+  allow_domains:
+    - "ru.wikipedia.org"
+    - "habr.com"
+  deny_exts:
+    - ".jpg"
+    - ".js"
+sources:
+  - name: "wikipedia"
+    urls:
+      - "https://ru.wikipedia.org/wiki/"
+  - name: "habr"
+    urls:
+      - "https://habr.com/ru/articles/"
+"""
+
+
+def test_config_as_it_is_written() -> None:
+    c = files.read_config(CONFIG)
+    assert c.allowed_domains == ("ru.wikipedia.org", "habr.com") and c.denied_extensions == (".jpg", ".js")
+    assert c.seeds == [("https://ru.wikipedia.org/wiki/", "wikipedia"), ("https://habr.com/ru/articles/", "habr")]
+    assert (c.delay_ms, c.revisit_seconds, c.revisit_scan_seconds, c.user_agent, c.timeout_s) == (1000, 86400, 300, "crawler/1.0", 20)
+    assert (c.follow_links, c.max_depth, c.max_links_per_page, c.articles_only) == (True, 2, 50, True)
+    for wrong in ("logic:\n  allowed_domains: [a.b]\n", "sources:\n  - {name: s, seed: 'http://a/'}\n", "logik: {}\n"):
+        with pytest.raises(ValueError):
+            files.read_config(wrong)
+    assert files.read_config("") == crawl.CrawlConfig(seeds=[])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<h1>foo <b>bar</b></h1><p>x <i>y</i></p>", ("foobar", None, None, "x y")),
+        ("<meta name='author' content=''><meta name='author' content='late'><meta property='author' content='P'><p>t</p>", (None, "P", None, "t")),
+        ("<meta name='og:title' content=' '><h1>H</h1><p>t</p>", ("H", None, None, "t")),
+        ("<meta name='date' content=' 2020 '><main><p>in</p></main><p>out</p>", (None, None, "2020", "in")),
+        ("<h1></h1><div id='mw-content-text'><h2>a</h2></div><article><p>b</p></article>", ("", None, None, "a")),
+    ],
+)
+def test_extracted_article(page: str, want: tuple) -> None:
+    assert corpus.extract_article(page)[1:] == want[1:] and (corpus.extract_article(page)[0] or "") == (want[0] or "")
+
+
+def test_request_gate() -> None:
+    assert boolean.query_of_request("GET", "/?q=a+b&x=1") == "a b&x=1" and boolean.query_of_request("GET", "/?x=1?q=a") == ""
+    assert boolean.query_of_request("GET", "/?x=1&q=a") == "" and boolean.query_of_request("POST", "/?q=a") is None
+
+
+def test_page_of_no_hits_has_its_total(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "term string, doc_id bigint, tf bigint")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    assert [tuple(r) for r in boolean.search_page(rows, docs, "nothing").collect()] == [(None, 0)]
+    assert [tuple(r) for r in boolean.search_page(rows, docs, "a or b", 1).collect()] == [(1, 2)]
+
+
+def test_dot_segments_of_any_number(spark: SparkSession) -> None:
+    deep = "http://h/" + "a/" * 30 + "../" * 30 + "z"
+    want = {deep: "http://h/z", "http://h/a/./b/../c": "http://h/a/c", "http://h/a/b/..": "http://h/a/", "http://h/../..": "http://h/", "http://h/a/.": "http://h/a/", "http://h/.a/..b": "http://h/.a/..b"}
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r[0]: r[1] for r in df.select("url", uf.normalize_url(F.col("url"))).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("2024-01-02T03:04:05.1234567890123Z", 1_704_164_645_123_456), ("-1000000000", -1_000_000_000_000_000), ("1700000000", 1_700_000_000_000_000), ("1700000000123", 1_700_000_000_123_000),
+        ("99999999999", 99_999_999_999_000), ("2024-01-02" + " " * 90 + "03:04 UTC", 1_704_164_640_000_000), ("12345", None),
+    ],
+)
+def test_instants_without_limits(value: str, want: int | None) -> None:
+    assert timestamps.parse_instant(value, "UTC") == want
+
+
+def test_sitemap_under_its_other_name() -> None:
+    asked = []
+
+    def opener(url: str, timeout: float) -> tuple[int, bytes, str]:
+        asked.append(url)
+        return (200, gzip.compress(b"<urlset/>") if url.endswith(".gz") else b"<x/>", url) if "index" not in url else (404, b"", url)
+
+    assert fetch.fetch_sitemap("http://h/sitemap-index.xml", opener, 1) == "<x/>" and asked == ["http://h/sitemap-index.xml", "http://h/sitemap.xml"]
+    assert fetch.fetch_sitemap("http://h/a.xml.gz", opener, 1) == "<urlset/>"
+    with pytest.raises(OSError):
+        fetch.fetch_sitemap("http://h/index/other.xml", opener, 1)
+
+
+def test_crawl_runs_in_rounds_and_scans_for_revisits(spark: SparkSession) -> None:
+    pages = spark.createDataFrame([], "url string, html string, source string, fetched_at bigint, hash string, last_checked bigint")
+    queue = spark.createDataFrame([], "url string, source string, depth int, status string, enqueued_at bigint, started_at bigint, revisit boolean")
+    site = spark.createDataFrame([("http://a/", '<a href="http://a/b">'), ("http://a/b", "end")], "url string, html string")
+    config = crawl.CrawlConfig(max_depth=1, seeds=[("http://a/", "s")], revisit_seconds=50, revisit_scan_seconds=100, delay_ms=5)
+    times, paused = iter([1000, 1000, 1060, 1100, 1110]), []
+    left, stored = crawl.run(queue, pages, crawl.saved_pages(site), config, 2, lambda: next(times), paused.append)
+    assert left.count() == 0 and {r["url"] for r in stored.collect()} == {"http://a/", "http://a/b"} and paused == [0.005, 0.005]
+    left, again = crawl.run(left, stored, crawl.saved_pages(site), config, 1, lambda: next(times), paused.append)  # 1110: due since 1060
+    assert {r["last_checked"] for r in again.collect()} == {1110}
+
+
+def test_time_and_speed_by_size(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([(20.0, 4.0), (10.0, 0.0), (5.0, 1.0)], "InputKB double, Elapsed double")
+    assert [tuple(r) for r in files.performance(rows).collect()] == [(5.0, 1.0, 5.0), (10.0, 0.0, None), (20.0, 4.0, 5.0)]
