@@ -140,8 +140,37 @@ WITH worded AS (
 """
 
 
+#: Page of an address (host without user, port and www., decoded path, decoded parameters that choose content), links to earlier
+#: records by page or text, and acceptance record by record.
+_P1 = (
+    _P4.replace("WITH worded", "WITH RECURSIVE worded").rstrip()
+    + r""", cut AS (
+    SELECT article_id, regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?([^/?#]*)', 1) AS host, regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?[^/?#]*([^?#]*)', 1) AS way,
+    regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1) AS query FROM articles WHERE trim(url) <> ''
+), page AS (
+    SELECT article_id, concat(regexp_replace(regexp_replace(rtrim(lower(regexp_replace(host, '^.*@', '')), '.'), ':(80|443)?$', ''), '^www\.', ''),
+    rtrim(url_decode(regexp_replace(regexp_replace(way, '/{2,}', '/', 'g'), '/\.(/|$)', '/', 'g')), '/'), '?',
+    array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(query, '[&;]'), lambda x: url_decode(replace(x, '+', ' '))), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)),
+    '^(utm_\w+|[gfymt]clid|dclid|msclkid|gclsrc|_openstat|mc_[ce]id|igshid|_ga|ref|ref_src|from|source|share|s_cid|sessionid|phpsessid|sid)$'))), '&')) AS name FROM cut
+), ordered AS (
+    SELECT article_id, batch_no, row_number() OVER (ORDER BY batch_no, article_id) AS r FROM articles WHERE batch_no >= 0
+), linked AS (
+    SELECT x, y FROM near UNION SELECT y, x FROM near UNION SELECT a.article_id, b.article_id FROM page a JOIN page b ON a.name = b.name AND a.article_id <> b.article_id
+), earlier AS (
+    SELECT a.r, list(DISTINCT b.r) AS those FROM linked JOIN ordered a ON a.article_id = x JOIN ordered b ON b.article_id = y WHERE b.r < a.r GROUP BY a.r
+), walk(r, accepted) AS (
+    SELECT coalesce(max(r), 0), coalesce(list(r), []) FROM ordered WHERE batch_no = 0
+    UNION ALL
+    SELECT w.r + 1, CASE WHEN list_has_any(coalesce(e.those, []), w.accepted) THEN w.accepted ELSE list_append(w.accepted, w.r + 1) END
+    FROM walk w JOIN ordered o ON o.r = w.r + 1 LEFT JOIN earlier e ON e.r = w.r + 1
+)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1 + "SELECT article_id FROM ordered, (SELECT accepted FROM walk ORDER BY r DESC LIMIT 1) WHERE batch_no > 0 AND NOT list_contains(accepted, r)",
         "p4_found": _P4 + "SELECT x AS article_id_a, y AS article_id_b FROM near",
         "p3_found": _P3 + "SELECT field, value, mark FROM marks WHERE mark IS NOT NULL",
         "p3_counts": _P3 + "SELECT field, value, occurrences, records, mark FROM marks",
