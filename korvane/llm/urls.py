@@ -6,7 +6,7 @@ import posixpath
 import re
 from urllib.parse import quote, unquote_to_bytes
 
-# Parameters that tell where a visitor came from, not what is shown.
+# A chosen list: parameters that tell where a visitor came from, not what is shown.
 TRACKING = re.compile(r"(?:utm_\w+|[gfymt]clid|dclid|msclkid|gclsrc|_openstat|mc_[ce]id|igshid|_ga|ref|ref_src|from|source|share|s_cid|sessionid|phpsessid|sid)", re.IGNORECASE)
 _SPLIT = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$", re.DOTALL)
 _KEPT = "-._~!$'()*,;:@"
