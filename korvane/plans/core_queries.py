@@ -397,7 +397,7 @@ def scrape_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def _queue_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")  # as a pattern, a table may be a file or a folder of parts
 
 
 def stream_new_addresses(spark: SparkSession, folder: str) -> DataFrame:

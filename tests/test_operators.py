@@ -214,6 +214,16 @@ def test_upsert_stream(spark: SparkSession, tmp_path) -> None:
     assert spark.read.parquet(f"{tmp_path}/table/version=0").first()["fetched_at"] == 5
 
 
+def test_streamed_tables_in_parts(spark: SparkSession, data: str, tmp_path) -> None:
+    from korvane.plans import core_queries
+
+    for table, query in (("pages", core_queries.stream_upsert_pages), ("queue", core_queries.stream_new_addresses)):
+        spark.read.parquet(f"{data}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+        parts, whole = sorted(map(tuple, query(spark, str(tmp_path)).collect())), sorted(map(tuple, query(spark, data).collect()))
+        assert parts == whole and whole
+    assert streams.newest_version(spark, f"{tmp_path}/none").count() == 0  # a stream without a batch stored nothing
+
+
 def test_shared_folder_and_bitmap(spark: SparkSession) -> None:
     df = spark.range(10)
     kept = runtime.written(df, "t")
