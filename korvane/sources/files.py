@@ -70,8 +70,11 @@ def write_index(index: DataFrame, path: str) -> None:
 def index_lines(lines: DataFrame) -> DataFrame:
     """(term, postings) of lines of an index file; the stated df is not used, lines of one term are joined."""
     cut = F.split("value", "\t", 3)
-    rows = lines.where(F.size(cut) >= 3).select(cut[0].alias("term"), F.explode(F.split(cut[2], ",")).alias("id")).where(F.col("id") != "")
-    return rows.groupBy("term").agg(F.array_sort(F.collect_set(F.col("id").cast("bigint"))).alias("postings"))
+    rows = lines.where(F.size(cut) >= 3).select(cut[0].alias("term"), cut[2].alias("ids")).where(F.col("ids").rlike("[^,]"))
+    # A line is never taken apart into rows: its term would be cut from the whole line again for each of its ids.
+    joined = rows.groupBy("term").agg(F.concat_ws(",", F.collect_list("ids")).alias("ids"))
+    ids = F.array_remove(F.split("ids", ","), "").cast("array<bigint>")
+    return joined.select("term", F.sort_array(F.array_distinct(ids)).alias("postings"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

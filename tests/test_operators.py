@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -179,6 +180,20 @@ def test_files(spark: SparkSession, tmp_path) -> None:
         files.parse_stats(spark.createDataFrame([("x",)], "value string"), ("Docs",)).collect()
 
 
+def test_index_lines_of_long_postings(spark: SparkSession) -> None:
+    lines = spark.createDataFrame([("b\t2\t10,9",), ("b\t9\t,9,1,",), ("\t1\t7",), ("c\t0\t",), ("d\t1",), (None,)], "value string")
+    assert sorted(map(tuple, files.index_lines(lines).collect())) == [("", [7]), ("b", [1, 9, 10])]
+
+    def seconds(rows: int, ids: int) -> float:
+        df = spark.range(0, rows, 1, 1).select(F.concat(F.lit("t\t0\t"), F.concat_ws(",", F.transform(F.sequence(F.col("id") * ids, F.col("id") * ids + ids - 1), lambda x: x.cast("string")))).alias("value"))
+        began = time.monotonic()
+        assert files.index_lines(df.localCheckpoint()).select(F.size("postings")).first()[0] == rows * ids
+        return time.monotonic() - began
+
+    seconds(60, 1000)
+    assert seconds(1, 60_000) < 5 + 3 * seconds(60, 1000)  # the time follows the ids, not the ids times the length of their line
+
+
 def test_sitemaps(spark: SparkSession) -> None:
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     top = spark.createDataFrame([("i", f"<?xml version='1.0'?><sitemapindex {ns}><sitemap><loc> m1 </loc></sitemap><sitemap><loc>m2</loc></sitemap></sitemapindex>")], "url string, xml string")
