@@ -194,6 +194,20 @@ def test_index_lines_of_long_postings(spark: SparkSession) -> None:
     assert seconds(1, 60_000) < 5 + 3 * seconds(60, 1000)  # the time follows the ids, not the ids times the length of their line
 
 
+def test_index_roundtrip_of_terms_in_every_document(spark: SparkSession, tmp_path) -> None:
+    from korvane.plans import core_queries
+
+    n = 60_000
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("и мост").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    took = {}
+    for query in (core_queries.inverted_index, core_queries.inverted_index, core_queries.index_tsv_roundtrip):
+        began = time.monotonic()
+        rows = {r["term"]: (r["df"], r["postings"]) for r in query(spark, str(tmp_path)).select("term", "df", "postings").collect()}
+        took[query] = time.monotonic() - began
+        assert rows == {t: (n, ",".join(map(str, range(n)))) for t in ("", "мост")}
+    assert took[core_queries.index_tsv_roundtrip] < 5 + 3 * took[core_queries.inverted_index]
+
+
 def test_sitemaps(spark: SparkSession) -> None:
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     top = spark.createDataFrame([("i", f"<?xml version='1.0'?><sitemapindex {ns}><sitemap><loc> m1 </loc></sitemap><sitemap><loc>m2</loc></sitemap></sitemapindex>")], "url string, xml string")
