@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,19 @@ def term(token: Column) -> Column:
     return ru_stem(ru_lower(token))
 
 
+_TO_SMALL, _KEPT = str.maketrans(CAPITALS, SMALL), re.compile(KEPT)
+_BY_LENGTH = tuple((n, frozenset(s for s in SUFFIXES if len(s) == n)) for n in (3, 2, 1))
+
+
+def term_of(token: str) -> str:
+    """What `term` gives, for workers that hold the token."""
+    low = token.translate(_TO_SMALL) if _KEPT.search(token) else token.lower()
+    for n, fits in _BY_LENGTH:
+        if low[-n:] in fits:
+            return low[:-n]
+    return low
+
+
 def input_units(text: Column) -> Column:
     """Scanner steps over a plain text: a Cyrillic letter is one, any other character its bytes."""
     return F.octet_length(text) - F.length(F.regexp_replace(text, "[^Ѐ-ѿ]", ""))

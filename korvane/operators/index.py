@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +73,53 @@ def inverted_index(rows: DataFrame, chunk: int | None = None) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.array_sort(F.collect_list("doc_id")).alias("postings"))
 
 
+#: Postings, and known tokens, that a worker holds at most before it sends or forgets them (one document may go beyond).
+HELD_POSTINGS, HELD_TOKENS = 1 << 21, 1 << 18
+
+
+class _Terms(dict):
+    def __missing__(self, token: str) -> str:
+        if len(self) >= HELD_TOKENS:
+            self.clear()
+        self[token] = made = tx.term_of(token)
+        return made
+
+
+def posting_lists(df: DataFrame, doc: str = "doc_id", text: str = "text", held_postings: int = HELD_POSTINGS) -> DataFrame:
+    """(term, df, postings): what `inverted_index` of `postings` gives, without frequencies. Rows with a null id are left out.
+
+    Workers turn runs of documents into lists for each term, so a row travels for each term of a run, not for each term of a document, and
+    each token of a run is lowered and stemmed once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, terms, held, n, kind = re.compile(tx.TOKEN).findall, _Terms(), defaultdict(list), 0, None
+
+        def packed() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held.values())])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(held.values())), kind))
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), lists], ["term", "postings"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = set(map(terms.__getitem__, set(find(x))))
+                for t in own:
+                    held[t].append(key)
+                n += len(own)
+                if n >= held_postings:
+                    yield packed()
+                    held.clear()
+                    n = 0
+        if held:
+            yield packed()
+
+    rows = df.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.make_valid_utf8(text).alias("text"))
+    lists = rows.mapInArrow(run, f"term string, postings array<{dict(df.dtypes)[doc]}>")
+    joined = lists.groupBy("term").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("postings")))).alias("postings"))
+    return joined.select("term", F.size("postings").cast("bigint").alias("df"), "postings")
+
+
 def docs_table(df: DataFrame, url: str = "url") -> DataFrame:
     """(doc_id, url): dense ids from 0 in order of url, for rows with a url. Ranges of urls are numbered apart and then shifted, so no
     task sees all rows."""

@@ -355,7 +355,7 @@ def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_tsv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    built = index.inverted_index(_postings(spark, folder))
+    built = index.posting_lists(_read(spark, folder, "documents"))
     lines = built.select(F.concat_ws("\t", "term", F.col("df").cast("string"), F.concat_ws(",", F.col("postings").cast("array<string>"))).alias("value"))
     return files.index_lines(lines).select("term", F.size("postings").cast("bigint").alias("df"), F.concat_ws(",", F.col("postings").cast("array<string>")).alias("postings"))
 

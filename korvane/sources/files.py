@@ -69,8 +69,9 @@ def write_index(index: DataFrame, path: str) -> None:
 
 def index_lines(lines: DataFrame) -> DataFrame:
     """(term, postings) of lines of an index file; the stated df is not used, lines of one term are joined."""
-    cut = F.split("value", "\t", 3)
-    rows = lines.where(F.size(cut) >= 3).select(cut[0].alias("term"), cut[2].alias("ids")).where(F.col("ids").rlike("[^,]"))
+    # Exploded from an array of one, a line is made and cut once; a filter on the cut alone would be moved to before it and do both again.
+    cut = lines.select(F.explode(F.array(F.split("value", "\t", 3))).alias("cut")).where(F.size("cut") >= 3)
+    rows = cut.select(F.col("cut")[0].alias("term"), F.col("cut")[2].alias("ids")).where(F.col("ids").rlike("[^,]"))
     # A line is never taken apart into rows: its term would be cut from the whole line again for each of its ids.
     joined = rows.groupBy("term").agg(F.concat_ws(",", F.collect_list("ids")).alias("ids"))
     ids = F.array_remove(F.split("ids", ","), "").cast("array<bigint>")

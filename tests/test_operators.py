@@ -208,6 +208,34 @@ def test_index_roundtrip_of_terms_in_every_document(spark: SparkSession, tmp_pat
     assert took[core_queries.index_tsv_roundtrip] < 5 + 3 * took[core_queries.inverted_index]
 
 
+def test_posting_lists(spark: SparkSession) -> None:
+    tokens = ["ДОМАМИ", "Ѐтой", "ЂОЙ", "ЁЛКАМИ", "ѝѠа", "и", "Ями", "rock'n'roll-ОЙ", "A1", "KELVIN"]
+    texts = [" ".join(tokens), "", None, "И у я", "\u212aelvin \u0130и x", "домами " * 50, "😀 им 😀ям"]
+    rows = [(i, t) for i, t in enumerate(texts * 3)] + [(3, "дом и дом"), (3, "дом"), (None, "дом")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    by_rows = index.inverted_index(index.postings(df.where("doc_id IS NOT NULL"))).select("term", "df", "postings")
+    for held in (1, 7, index.HELD_POSTINGS):
+        assert sorted(map(tuple, index.posting_lists(df, held_postings=held).collect())) == sorted(map(tuple, by_rows.collect()))
+    assert index.posting_lists(df.limit(0)).count() == 0
+
+
+def test_index_roundtrip_sends_no_row_for_each_posting(spark: SparkSession, tmp_path) -> None:
+    from korvane.plans import core_queries
+
+    def shuffled() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        gateway = spark.sparkContext._gateway
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    n = 20_000
+    spark.range(0, n, 1, 2).select(F.col("id").alias("doc_id"), F.lit("и мост").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled()
+    assert [r["df"] for r in core_queries.index_tsv_roundtrip(spark, str(tmp_path)).collect()] == [n, n]
+    assert shuffled() - before < n / 100
+
+
 def test_sitemaps(spark: SparkSession) -> None:
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     top = spark.createDataFrame([("i", f"<?xml version='1.0'?><sitemapindex {ns}><sitemap><loc> m1 </loc></sitemap><sitemap><loc>m2</loc></sitemap></sitemapindex>")], "url string, xml string")
