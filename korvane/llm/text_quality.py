@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,8 @@ _TAGGED = re.compile(r"(?<!\S)#\w+")
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}")
 _HEX = re.compile(r"0x[0-9a-f]{4,}|\b[0-9a-f]{12,}\b")
 _TAIL = re.compile(r"['\"»”)\]]*\s*[^\w;,]*$")
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
+_STOP = re.compile(r"([.!?…])\s")
+_NAME = re.compile(r"[^\W\d_]+,\s*[^\W\d_]\.")
 
 STATISTICS = ("words", "mean_word_length", "symbol_share", "punctuated_lines", "common_words")
 _NAMES = (
@@ -92,12 +94,27 @@ def _ends_sentence(line: str) -> bool:
 
 def _mixed(codes: np.ndarray) -> int:
     """Places where ASCII letters and digits, or small letters and capitals, alternate as no word does."""
-    small, capital, digit = (codes >= 97) & (codes <= 122), (codes >= 65) & (codes <= 90), (codes >= 48) & (codes <= 57)
     if len(codes) < 3:
         return 0
-    letter = small | capital
-    n = int((letter[:-2] & digit[1:-1] & letter[2:]).sum()) + int((small[:-2] & capital[1:-1] & capital[2:]).sum())
-    return n + int((small[:-3] & capital[1:-2] & small[2:-1] & capital[3:]).sum())
+    small, capital, digit = codes - 97 < 26, codes - 65 < 26, codes - 48 < 10  # unsigned: what is less wraps round
+    n, step = 0, small[:-1] & capital[1:]
+    if digit.any():
+        letter = small | capital
+        n = int(np.count_nonzero(letter[:-2] & digit[1:-1] & letter[2:]))
+    if step.any():
+        n += int(np.count_nonzero(step[:-1] & capital[2:])) + int(np.count_nonzero(step[:-2] & step[2:]))
+    return n
+
+
+def _spread(values: list[int], mean: float) -> float:
+    """Standard deviation, in the order of operations of numpy's own."""
+    off = np.array(values, dtype=np.float64) - mean
+    return float(np.sqrt(np.add.reduce(off * off) / len(values)))
+
+
+def _hex_runs(parts: list[list[str]], prefixed: bool) -> int:
+    """Finds of _HEX in texts between white space; without 0x only those of twelve characters or more can hold one."""
+    return sum(len(_HEX.findall(x)) for x in chain.from_iterable(parts) if prefixed or len(x) >= 12)
 
 
 def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray) -> list[float]:
@@ -105,25 +122,33 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
     lines = [x for x in (y.strip("\r ") for y in text.split("\n")) if x.strip()]
     n, chars = max(1, len(lines)), len(text)
     words = _WORD.findall(text)
-    low = [w.lower() for w in words]
+    low = list(map(str.lower, words))
     w = len(words) or 1
     times, capitals = Counter(low), [a for a, b in zip(words, low) if a != b]
-    lengths = np.fromiter(map(len, words), dtype=np.float64, count=len(words)) if words else np.zeros(1)
+    lengths = list(map(len, words)) or [0]
+    mean_length = sum(lengths) / len(lengths)
     codes = _codes(text)
     classes = _classes_of(codes)
     kinds = np.bincount(classes, minlength=_CLASSES)
     letters, digits, spaces, other = int(kinds[: _CLASSES - 3].sum()), int(kinds[-3]), int(kinds[-2]), int(kinds[-1])
-    inside = (classes[1:] < _CLASSES - 4) & (classes[:-1] < _CLASSES - 4)
-    seen = pairs[classes[:-1][inside], classes[1:][inside]] if chars > 1 else np.zeros(0)
+    known = classes < _CLASSES - 4
+    seen = pairs.ravel()[(classes[:-1] * _CLASSES + classes[1:])[known[1:] & known[:-1]]]
+    high = codes[codes - 0x7F < 0x81]  # unsigned: from 0x7F to 0xFF
     ends = [_ends_sentence(x) for x in lines]
     ended = sum(ends)
-    line_words = [len(x.split()) for x in lines] or [0]
+    parts = [x.split() for x in lines]
+    line_words = list(map(len, parts)) or [0]
+    longest = max(map(len, chain.from_iterable(parts)), default=0)
+    ordered, half = sorted(line_words), len(line_words) // 2
     sentence_lines = sum(c >= 4 and e for c, e in zip(line_words, ends))
     bullets = sum(_BULLET.match(x) is not None for x in lines)
     leaders = sum(x[-1].isdigit() and _LEADER.search(x) is not None for x in map(str.rstrip, lines))
-    sizes = np.array([len(x) for x in lines] or [0], dtype=np.float64)
+    sizes = list(map(len, lines)) or [0]
+    mean_size = sum(sizes) / len(sizes)
     best_cells, best_alike, best_lines, best_numbers = 0.0, 0.0, 0.0, 0.0
     for sep in ("|", "\t", ";", ","):
+        if text.count(sep) < (2 if sep == "\t" else 4):  # too few for two rows
+            continue
         own = [_QUOTED.sub("q", x) for x in lines] if sep in ",;" and '"' in text else lines
         counts = [x.count(sep) for x in own]
         rows = [c for c in counts if c >= (1 if sep in "\t" else 2)]
@@ -137,20 +162,20 @@ def statistics(text: str, common: frozenset[str] | set[str], pairs: np.ndarray)
     spaced = sum(_SPACED.search(x) is not None for x in lines) / n if "  " in text else 0.0
     tops = max(times.values()) / w if words else 0.0
     common_times = [(x, c) for x, c in times.items() if x in common]
-    sentences = [s.strip() for s in _SENTENCES.split(text) if s.strip()]
+    sentences = [x for x in map(str.strip, _STOP.sub("\\1\n", text).split("\n")) if x]
     vowels = int(kinds[_VOWELS].sum()) / max(1, letters)
-    names = sum(bool(re.match(r"^[^\W\d_]+,\s*[^\W\d_]\.", x)) for x in lines)
+    names = sum(_NAME.match(x) is not None for x in lines) if "," in text else 0
     colons = sum(0 <= x.find(": ") < 0.6 * len(x) for x in lines)
     return [
-        float(len(words)), float(lengths.mean()), other / chars, ended / n, sum(c for _, c in common_times) / w,
+        float(len(words)), mean_length, other / chars, ended / n, sum(c for _, c in common_times) / w,
         float(np.log1p(chars)), float(np.log1p(n)), letters / chars, digits / chars, spaces / chars, sum(map(str.isupper, capitals)) / w, int(kinds[_CLASSES - 4]) / chars,
-        float(((codes >= 0x80) & (codes < 0x100)).mean()), text.count("�") / chars, sentence_lines / n, bullets / n, leaders / n,
-        float((sizes < 60).mean()), float(np.log1p(sizes.mean())), float(sizes.std() / (sizes.mean() + 1)), float(np.median(line_words)), sum(x[-1] in ";," for x in lines) / n, best_cells, best_lines, best_alike, best_numbers,
-        spaced, sum(bool(_URL.match(x)) for x in lines) / n, min(1.0, len(_TAGGED.findall(text)) / w) if "#" in text else 0.0, 3 * len(_ESCAPED.findall(text)) / chars if "%" in text or "\\" in text else 0.0,
-        min(1.0, (_mixed(codes) + (len(_HEX.findall(text)) if digits else 0)) / w),
-        len(times) / w, len(set(lines)) / n, len(set(sentences)) / max(1, len(sentences)), float(np.log1p(max(map(len, text.split()), default=0))), float((lengths == 1).mean()),
-        float(seen.mean()) if seen.size else -12.0, float((seen < -7.5).mean()) if seen.size else 1.0, vowels, float(lengths.std()), tops, names / n, colons / n, sum(x[:1].isupper() for x in capitals) / w,
-        sum(c for x, c in common_times if len(x) <= 4) / w, sum(a[1:] != a[1:].lower() and not a.isupper() for a in capitals) / w, float(((codes >= 0x7F) & (codes < 0xA0)).mean()),
+        int(np.count_nonzero(high >= 0x80)) / len(codes), text.count("�") / chars, sentence_lines / n, bullets / n, leaders / n,
+        sum(x < 60 for x in sizes) / len(sizes), float(np.log1p(mean_size)), _spread(sizes, mean_size) / (mean_size + 1), (ordered[half] + ordered[-1 - half]) / 2, sum(x[-1] in ";," for x in lines) / n, best_cells, best_lines, best_alike, best_numbers,
+        spaced, sum(bool(_URL.match(x)) for x in lines) / n if "://" in text else 0.0, min(1.0, len(_TAGGED.findall(text)) / w) if "#" in text else 0.0, 3 * len(_ESCAPED.findall(text)) / chars if "%" in text or "\\" in text else 0.0,
+        min(1.0, (_mixed(codes) + (_hex_runs(parts, "0x" in text) if digits and (longest >= 12 or "0x" in text) else 0)) / w),
+        len(times) / w, len(set(lines)) / n, len(set(sentences)) / max(1, len(sentences)), float(np.log1p(longest)), lengths.count(1) / len(lengths),
+        float(np.add.reduce(seen) / seen.size) if seen.size else -12.0, int(np.count_nonzero(seen < -7.5)) / seen.size if seen.size else 1.0, vowels, _spread(lengths, mean_length), tops, names / n, colons / n, sum(x[:1].isupper() for x in capitals) / w,
+        sum(c for x, c in common_times if len(x) <= 4) / w, sum(a[1:] != a[1:].lower() and not a.isupper() for a in capitals) / w, int(np.count_nonzero(high < 0xA0)) / len(codes),
     ]
 
 

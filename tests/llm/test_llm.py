@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -575,6 +577,38 @@ def test_held_out_documents_are_neither_trained_nor_calibrated_on(spark: SparkSe
     assert text_quality.held_out_report(df, labels.limit(0)).count() == 0
 
 
+def test_statistics_without_numpy_wrappers() -> None:
+    """Values equal plain definitions, and no mean, deviation or median of numpy runs for each document."""
+    rnd, signs = random.Random(10), "aBк1.!?… \n\r\t\u2028\x85\u00a0|;,\"#(0xdeadbeef’-\ufffd😀İ"
+    texts = ["".join(rnd.choice(signs) if rnd.random() < 0.8 else rnd.choice(("0xdeadbeef", "00deadbeef00", "slow.  Er", "aBaB")) for _ in range(rnd.choice((1, 3, 20, 200)))) for _ in range(2000)]
+    pairs, wrapped, made = np.random.default_rng(1).normal(-6, 2, (text_quality._CLASSES, text_quality._CLASSES)), [], []
+
+    def seen(frame, event, arg) -> None:
+        if event == "call" and "numpy" in frame.f_code.co_filename and frame.f_code.co_name in ("_mean", "_std", "_var", "median"):
+            wrapped.append(frame.f_code.co_name)
+
+    texts = [t for t in texts if t.strip()]
+    text_quality.statistics("warm", set(), pairs)
+    sys.setprofile(seen)
+    try:
+        made = [text_quality.statistics(t, {"a"}, pairs) for t in texts]
+    finally:
+        sys.setprofile(None)
+    assert not wrapped
+    for text, own in zip(texts, made):
+        lines = [x.strip("\r ") for x in text.split("\n") if x.strip()]
+        sizes, lengths, codes = np.array([len(x) for x in lines], float), np.array([len(w) for w in text_quality._WORD.findall(text)] or [0], float), np.array([ord(c) for c in text])
+        sentences = [x.strip() for x in re.split(r"(?<=[.!?…])\s+|\n+", text) if x.strip()]
+        plain = {
+            "mean_word_length": lengths.mean(), "word_spread": lengths.std(), "single_letters": (lengths == 1).mean(), "short_lines": (sizes < 60).mean(), "line_spread": sizes.std() / (sizes.mean() + 1),
+            "line_words": np.median([len(x.split()) for x in lines]), "distinct_sentences": len(set(sentences)) / max(1, len(sentences)), "latin1": ((codes >= 0x80) & (codes < 0x100)).mean(), "controls": ((codes >= 0x7F) & (codes < 0xA0)).mean(),
+            "longest_word": np.log1p(max(map(len, text.split()), default=0)),
+        }
+        assert {k: own[text_quality._AT[k]] for k in plain} == plain
+        parts = [x.split() for x in lines]
+        assert text_quality._hex_runs(parts, "0x" in text) == len(text_quality._HEX.findall(text))
+
+
 @pytest.mark.parametrize("line", ["Конец.", "конец", "Он сказал «да».", "so (see p. 3).", "x. #tag #other", "a; b", "wait... ", "one. two, three", "1. Punkt", "Ende?)", "«Да!» — сказал", ""])
 def test_sentence_ends_are_those_of_the_pattern(line: str) -> None:
     assert text_quality._ends_sentence(line) == (text_quality._SENTENCE_END.search(line) is not None)
